@@ -23,16 +23,17 @@ WINDOW = 5
 RULES: tuple[tuple[str, str], ...] = (
     ("few_words", "n_words < 10"),
     ("repeated_windows", "100 * n_repeat_words > 20 * n_words"),
-    ("repeated_lines", "n_lines >= 4 and 100 * n_dup_lines > 30 * n_lines"),
+    ("repeated_lines", "n_lines >= 4 and 100 * n_dup_lines > 50 * n_lines"),
     ("many_symbols", "10 * n_symbols > n_words"),
     ("short_words", "word_chars < 2 * n_words"),
     ("long_words", "word_chars > 15 * n_words"),
+    ("many_exclamations", "4 * n_exclaims > n_words"),
 )
 BASE = ("few_words", "repeated_windows")
 #: Policies by version: the rules that reject.
 POLICIES: dict[str, tuple[str, ...]] = {
     "v1": BASE,
-    "v2": (*BASE, "repeated_lines", "many_symbols", "short_words", "long_words"),
+    "v2": (*BASE, "repeated_lines", "many_symbols", "short_words", "long_words", "many_exclamations"),
 }
 CURRENT = "v2"
 
@@ -46,7 +47,7 @@ def mask(rules: Sequence[str]) -> int:
 
 
 def measure(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The columns of ``keep`` with ``n_words word_chars n_symbols n_lines n_dup_lines n_repeat_words``, all long.
+    """The columns of ``keep`` with ``n_words word_chars n_symbols n_exclaims n_lines n_dup_lines n_repeat_words``, all long.
 
     Windows of five words are told apart by 64-bit hashes of the words' hashes. Only texts in which some window comes again
     have their windows sorted to find where.
@@ -61,14 +62,16 @@ def measure(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc
         F.array_remove(F.split(text, f"[{SPACE}]+"), "").alias("words"),
         F.length(bare).cast("long").alias("word_chars"),
         (F.length(bare) - F.length(F.translate(bare, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        (F.length(bare) - F.length(F.translate(bare, "!", ""))).cast("long").alias("n_exclaims"),
         lines.alias("lines"),
     )
-    counts = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines"]
+    counts = ["n_words", "word_chars", "n_symbols", "n_exclaims", "n_lines", "n_dup_lines"]
     hashed = first.select(
         *k,
         F.size("words").cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
+        "n_exclaims",
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("h"),
