@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, jaccard, mixing, quality, token_counts
+from . import bpe, chat, embeddings, jaccard, licenses, mixing, quality, token_counts, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,14 +20,31 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), ids=False, decoded=False)
 
 
+def op3_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return rows.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op5_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents")).select("doc_id", "license", F.array_join("licenses", ",").alias("licenses"), "n_paragraphs")
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), words=4, num=85, den=100)
 
@@ -36,11 +54,21 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_exclaims", "n_lines", "failures")
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_conversations(chat.events_of(rows.unionByName(more))))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe_codec, op4_token_counts, op7_ngram_join, op8_quality_rules, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_url_filters, op2_bpe_codec, op3_warc_normaliser, op4_token_counts, op5_embedding_neardup, op6_license_scan, op7_ngram_join, op8_quality_rules, op9_chat_format, op10_mixing)
+}
 
 SQL: dict[str, str] = {
     "op8_quality_rules": r"""
@@ -70,5 +98,43 @@ WITH d AS (
     + 64 * CAST(4 * n_exclaims > n_words AS BIGINT) AS failures FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures = 0 AS kept, n_exclaims, n_lines, failures FROM f
+""",
+    "op5_embedding_neardup": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+), pair AS (
+  SELECT a.vec_id AS i, b.vec_id AS j FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach(i, j) AS (
+  SELECT i, j FROM pair UNION SELECT reach.i, pair.j FROM reach JOIN pair ON reach.j = pair.i
+), n AS (SELECT i, count(*) AS n_links FROM pair GROUP BY i), c AS (SELECT i, min(j) AS low FROM reach GROUP BY i)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+       vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM v LEFT JOIN n ON n.i = vec_id LEFT JOIN c ON c.i = vec_id
+""",
+    "op9_chat_format": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
+    SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+  )
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(17 + length(replace(replace(replace(replace(role, '\', '\\'), '<', '\<'), '>', '\>'), chr(10), '\n')) + length(replace(replace(text, '\', '\\'), '<', '\<'))) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+""",
+    "op3_warc_normaliser": r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), d AS (
+  SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, lpad(array_to_string(list_transform(list_reverse(range(32)),
+    lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((('0x' || substr(sha1(html), CAST(((31 - k) // 8) * 10 + 1 AS INTEGER), 10))::BIGINT >> (5 * (k % 8))) & 31) AS INTEGER) + 1, 1)), ''), 32, 'A') AS payload_digest,
+    min(page_id) OVER (PARTITION BY html) AS holder FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> holder THEN holder END AS refers_to FROM d
 """,
 }
