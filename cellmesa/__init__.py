@@ -1 +1,8 @@
 """Annotated-matrix analytics on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to executors by value, so a cluster's workers need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
