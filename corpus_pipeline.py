@@ -1,21 +1,47 @@
-"""A corpus in four stages; each stage's result is written and read again as the next one's documents."""
+"""A corpus in four stages; each stage's result is written and read again as the next one's documents.
+
+Quality rules drop the documents that the current policy rejects. The n-gram join keeps one document of each group of near
+duplicates (five words, Jaccard 0.8 or more): the one with the smallest id, and all documents without words or without an id.
+The mix takes documents towards the sources' target weights, some of them up to three times. The last stage encodes and
+decodes what is left.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cellmesa.llm import bpe
+from cellmesa.llm import bpe, jaccard, mixing, quality
 from cellmesa.llm.common import stored
 from cellmesa.llm.queries import vocabulary
 
+#: SQL cannot express the encoding; the tests hold every stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    text = names[docs.columns.index("text")]
+    kept = quality.ledger(quality.measure(rows, text, names)).where(quality.passes(quality.POLICIES[quality.CURRENT]))
+    return kept.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = jaccard.jaccard_components(docs.select("doc_id", "text"), words=5, num=80, den=100)
+    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, vocabulary("word_bpe_49k.json"), ids=False, decoded=False)
 
 
-STAGES = [("encode", encode)]
+STAGES = [("quality rules", quality_stage), ("n-gram Jaccard join", dedup_stage), ("mix to target weights", mix_stage), ("BPE codec", encode_stage)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,5 +49,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = stored(docs, name)
+            docs = stored(docs, name.replace(" ", "-"))
     return docs
