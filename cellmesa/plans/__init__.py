@@ -1,6 +1,6 @@
 """Registered queries and the SQL that states their results."""
 
-from . import de_queries, prep_queries
+from . import de_queries, graph_queries, prep_queries
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "de_queries", "prep_queries"]
+__all__ = ["QUERIES", "SQL", "de_queries", "graph_queries", "prep_queries"]
