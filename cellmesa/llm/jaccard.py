@@ -4,8 +4,9 @@
 2. Families. Sets of similar size share a band. In a band whose linked pairs differ in at most H shingles, the hash range is
    cut into P > H slices, so at least one slice of a linked pair is equal in both sets (slices that are empty in many
    sets are allowed for, see ``band``). Documents that share a slice's signature meet in one family, so no link leaves a
-   family. A task links copies among its own documents first and sends one posting for each signature.
-3. Within a family, or a pair of its blocks where it is large, each document queries an inverted index of those before it:
+   family. A task links copies among its own documents first and sends one posting for each signature. Families too large
+   for one block are split again by signatures of larger pieces (``fine_signatures``), again without losing a link.
+3. Within a family, or a block of it where it is large, each document queries an inverted index of those before it:
    short lists are heap-merged, the L longest are probed by bisection (DivideSkip of Li, Lu and Lu 2008), and documents
    that reach the required overlap are linked. Documents already in the query's component need no search, and a component
    of many documents is first tried through one of them, so that a family of near copies takes linear time.
@@ -21,7 +22,8 @@ import hashlib
 import heapq
 import math
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from .common import components, slices, stored
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
 #: Postings that a task gathers before it sends them.
-FLUSH = 1_500_000
+FLUSH = 500_000
 #: A block of a family holds so many documents and so many shingles, or one document.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_500_000
 
@@ -48,7 +50,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Shingle sets as sorted arrays of hashes; words' hashes are cached up to a bound."""
 
-    def __init__(self, words: int, cache: int = 400_000):
+    def __init__(self, words: int, cache: int = 200_000):
         self.k, self.most, self.known = words, cache, {}
         self.factors = mixed(np.arange(1, words + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -92,8 +94,8 @@ class Bands:
         base = next(i for i in range(len(self.edges) - 1, -1, -1) if self.edges[i] <= size)
         return [b for b in (base - 1, base) if b >= 0]
 
-    def band(self, b: int) -> tuple[int, int]:
-        """(slices, slack). Linked sets differ in at most H slices, so slack + 1 = slices - H are equal in both. A set with
+    def band(self, b: int) -> tuple[int, int, int]:
+        """(slices, slack, H). Linked sets differ in at most H slices, so slack + 1 = slices - H are equal in both. A set with
         more empty slices than the slack sends those too; with any other, an equal slice that is not empty remains."""
         if b not in self.told:
             self.of(self.edges[-1])
@@ -103,7 +105,7 @@ class Bands:
             differ = 2 * top * (self.den - self.num) // (self.den + self.num)
             empty = (differ + 1) * math.exp(-low / (differ + 1))
             slack = math.ceil(empty + 4 * math.sqrt(empty))
-            self.told[b] = (differ + 1 + slack if differ else 0, slack)
+            self.told[b] = (differ + 1 + slack if differ else 0, slack, differ)
         return self.told[b]
 
 
@@ -112,7 +114,7 @@ def signatures(tokens: np.ndarray, bands: Bands) -> np.ndarray:
     out = []
     own = mixed(tokens + np.uint64(0x1234567))
     for b in bands.of(len(tokens)):
-        count, slack = bands.band(b)
+        count, slack, _ = bands.band(b)
         if not count:
             continue
         at = ((tokens >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
@@ -126,6 +128,36 @@ def signatures(tokens: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+#: Of the pieces of a part, so many are left out of a signature: a part of a linked pair differs in no more of them.
+PIECES, LEFT_OUT = 6, 2
+_KEPT = [c for k in range(LEFT_OUT + 1) for c in combinations(range(PIECES), PIECES - k)]
+
+
+def fine_signatures(tokens: np.ndarray, bands: Bands) -> np.ndarray:
+    """Keys that hold about two thirds of a third of the slices each (PartEnum of Arasu, Ganti and Kaushik 2006).
+
+    The hash range has n > H / 3 parts of six pieces, so a linked pair differs in at most two shingles, hence pieces, of some
+    part; a key stands for a part and a choice of pieces, as many left out as the pair may differ in.
+    """
+    out = []
+    own = mixed(tokens + np.uint64(0x7654321))
+    for b in bands.of(len(tokens)):
+        _, _, differ = bands.band(b)
+        if not differ:
+            continue
+        parts = differ // (LEFT_OUT + 1) + 1
+        least = differ // parts
+        masks = np.array([[i in c for i in range(PIECES)] for c in _KEPT if len(c) == PIECES - least], np.uint64)
+        at = (((tokens >> np.uint64(32)) * np.uint64(parts * PIECES)) >> np.uint64(32)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        cells = np.zeros(parts * PIECES, np.uint64)
+        cells[at[first]] = np.add.reduceat(own, first)
+        sums = cells.reshape(parts, PIECES) @ masks.T
+        name = (np.arange(sums.size, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(b)
+        out.append(mixed(sums.ravel() ^ mixed(name)))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
 def _runs(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted by key: where each run of a key starts, the keys and the documents (smallest first in a run)."""
     order = np.lexsort((docs, keys))
@@ -140,9 +172,12 @@ def _stars(start: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return np.unique(pair, axis=0) if len(pair) else pair
 
 
-def family_edges(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """``(a, b)``: edges that connect the documents of each family."""
-    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def family_edges(rows: DataFrame, reader: Callable[[], Callable[[object], np.ndarray]], sign: Callable[[np.ndarray, Bands], np.ndarray], num: int, den: int) -> DataFrame:
+    """``(a, b)``: edges that connect the documents of each family.
+
+    ``rows``: an id and what a function that ``reader`` makes turns into a set; ``sign`` gives a set's keys.
+    """
+    parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def send(keys: list[np.ndarray], owner: list[int]) -> pa.RecordBatch:
         key = np.concatenate(keys)
@@ -165,14 +200,14 @@ def family_edges(docs: DataFrame, words: int, num: int, den: int, id_col: str, t
         )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, bands, seen, keys, owner, held = Shingler(words), Bands(num, den), set(), [], [], 0
+        read, bands, seen, keys, owner, held = reader(), Bands(num, den), set(), [], [], 0
         for batch in slices(batches, 1):
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens = shingle(text)
+            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                tokens = read(value)
                 if doc is None or not len(tokens) or (same := set_key(tokens)) in seen:
                     continue  # equal sets are linked by their class
                 seen.add(same)
-                if len(got := signatures(tokens, bands)):
+                if len(got := sign(tokens, bands)):
                     keys.append(got)
                     owner.append(doc)
                     held += len(got)
@@ -193,7 +228,7 @@ def family_edges(docs: DataFrame, words: int, num: int, den: int, id_col: str, t
         star = _stars(start, doc)
         return pa.table({"a": star[:, 0], "b": star[:, 1]})
 
-    posted = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(work, "part int, keys binary, gaps binary")
+    posted = rows.mapInArrow(work, "part int, keys binary, gaps binary")
     return posted.groupBy("part").applyInArrow(meet, "a long, b long").distinct()
 
 
@@ -227,8 +262,11 @@ class _Index:
             yield at, n, long_
 
 
-def t_occurrence_links(ids: list[int], sets: list[np.ndarray], num: int, den: int, big: int = 32) -> list[tuple[int, int]]:
-    """Edges that join the documents linked at Jaccard >= num / den, directly or through others, to their smallest id."""
+def t_occurrence_links(ids: list[int], sets: list[np.ndarray], num: int, den: int, known: list[int] | None = None, big: int = 32) -> list[tuple[int, int]]:
+    """Edges that join the documents linked at Jaccard >= num / den, directly or through others, to their smallest id.
+
+    ``known``: components found earlier; documents of one are not searched for each other.
+    """
     order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
     size = [len(sets[i]) for i in order]
     root, members = list(range(len(order))), [[i] for i in range(len(order))]
@@ -255,6 +293,10 @@ def t_occurrence_links(ids: list[int], sets: list[np.ndarray], num: int, den: in
     def need(a: int, b: int) -> int:
         return -(-num * (a + b) // (num + den))
 
+    if known:
+        first: dict[int, int] = {}
+        for q, i in enumerate(order):
+            union(first.setdefault(known[i], q), q)
     for q, i in enumerate(order):
         tokens = sets[i].tolist()
         s = size[q]
@@ -266,6 +308,8 @@ def t_occurrence_links(ids: list[int], sets: list[np.ndarray], num: int, den: in
         search = [rest]
         for z, held in list(bigs.items()):
             for pivot, n, index in held:
+                if find(z) == find(q):
+                    continue
                 if n >= smallest and len(own & pivot) >= need(s, n):
                     union(q, z)
                 else:
@@ -289,7 +333,7 @@ def t_occurrence_links(ids: list[int], sets: list[np.ndarray], num: int, den: in
             rest.add(q, tokens)
             if len(members[r]) >= big:
                 index = _Index()
-                for m in sorted(members[r]):
+                for m in sorted(m for m in members[r] if m <= q):
                     index.add(m, sets[order[m]].tolist())
                 bigs[r] = [(own, s, index)]
     out = []
@@ -321,28 +365,70 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     classes = rows.where("n_shingles > 0 and id is not null").groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"))
     copies = rows.where("n_shingles > 0").join(classes.where("copies > 1").select("hi", "lo", "rep"), ["hi", "lo"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     links = stored(copies.distinct(), "copies")
-    families = components(family_edges(docs, words, num, den, id_col, text_col).unionByName(links))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    families = components(family_edges(texts, lambda: Shingler(words), signatures, num, den).unionByName(links))
     members = stored(classes.select(F.col("rep").alias("id"), "n").groupBy("id").agg(F.max("n").alias("n")).join(families, "id"), "members")
-    sizes = members.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).where("docs > 1")
-    blocks = F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    placed = members.join(sizes.select("component", blocks.alias("blocks")), "component").select("id", "component", "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("own"))
+    placed = _blocks(members.select("id", "n", F.col("component").alias("family")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         for batch in slices(batches, 1):
             sets = pa.array([shingle(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets, *batch.columns[2:]], names=["id", "tokens", "component", "blocks", "own"])
-
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    held = texts.join(placed, "id").select("id", "text", "component", "blocks", "own").mapInArrow(work, "id long, tokens binary, component long, blocks int, own int")
-    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("own")))
-    paired = held.withColumn("other", F.explode(others)).select("id", "tokens", "component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets, *batch.columns[2:]], names=["id", "tokens", "family", "blocks", "own"])
 
     def link(table: pa.Table) -> pa.Table:
         sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
-        got = t_occurrence_links(table.column("id").to_pylist(), sets, num, den)
+        known = table.column("root").to_pylist() if "root" in table.column_names else None
+        got = t_occurrence_links(table.column("id").to_pylist(), sets, num, den, known)
         return pa.table({"a": pa.array([a for a, _ in got], pa.int64()), "b": pa.array([b for _, b in got], pa.int64())})
 
-    found = paired.groupBy("component", "x", "y").applyInArrow(link, "a long, b long")
-    joined = components(found.unionByName(links))
+    # the merge hint keeps one plan at every size
+    met = texts.join(placed.hint("merge"), "id").select("id", "text", "family", "blocks", "own")
+    held = stored(met.mapInArrow(work, "id long, tokens binary, family long, blocks int, own int"), "family-sets")
+    found = links.unionByName(held.where("blocks = 1").select("id", "tokens", "family").groupBy("family").applyInArrow(link, "a long, b long"))
+    large = held.where("blocks > 1").select("id", "tokens")
+    if not large.isEmpty():
+        parts = components(family_edges(large, lambda: lambda raw: np.frombuffer(raw, np.uint64), fine_signatures, num, den))
+        sized = large.select("id", (F.octet_length("tokens") / 8).cast("long").alias("n")).groupBy("id").agg(F.max("n").alias("n"))
+        split = stored(_blocks(sized.join(parts, "id").select("id", "n", F.col("component").alias("family"))), "families")
+        again = stored(large.join(split, "id"), "family-sets")
+        alone = stored(again.select("id", "tokens", "family", "own").groupBy("family", "own").applyInArrow(link, "a long, b long"), "links")
+        found = found.unionByName(alone).unionByName(_across_blocks(again.where("blocks > 1"), alone, link))
+    joined = components(found)
     return rows.join(joined, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """``(id, family, blocks, own)``: the block of each document (``id, n, family``) of families that have two or more."""
+    sizes = members.groupBy("family").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).where("docs > 1")
+    blocks = F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    met = members.join(sizes.select("family", blocks.alias("blocks")), "family")
+    return met.select("id", "family", "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("own"))
+
+
+def _across_blocks(held: DataFrame, alone: DataFrame, link) -> DataFrame:
+    """Links between the blocks of large families.
+
+    The largest component of each block goes first, through one document, so that a family of near copies becomes one
+    component at little cost. Then each document outside its family's largest component meets all blocks of its family;
+    those inside it are linked already and only meet the former.
+    """
+    roots = components(alone)
+    named = held.join(roots, "id", "left").select("id", "tokens", "family", "blocks", "own", F.coalesce("component", "id").alias("root"))
+    named = stored(named, "blocks")
+    largest = named.groupBy("family", "own", "root").agg(F.count("*").alias("n")).groupBy("family", "own").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("id"))
+    pivots = named.select("id", "tokens", "family", (F.col("own") / BLOCK_DOCS).cast("int").alias("chunk")).join(largest.select("family", "id"), ["family", "id"])
+    first = stored(pivots.select("id", "tokens", "family", "chunk").groupBy("family", "chunk").applyInArrow(link, "a long, b long"), "links")
+    merged = components(first)
+    now = named.join(merged.select(F.col("id").alias("root"), "component"), "root", "left").withColumn("root", F.coalesce("component", "root")).drop("component")
+    counts = now.groupBy("family", "root").agg(F.count("*").alias("n"), F.sum(F.octet_length("tokens") / 8).alias("shingles"))
+    main = counts.groupBy("family").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("main"), F.sum("n").alias("all_n"), F.sum("shingles").alias("all_shingles"), F.max(F.struct("n", -F.col("root"), "shingles")).alias("most"))
+    left = main.select("family", "main", (F.col("all_n") - F.col("most.n")).alias("docs"), (F.col("all_shingles") - F.col("most.shingles")).alias("shingles")).where("docs > 0")
+    parts = F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES, F.lit(1))).cast("int")
+    rest = stored(now.join(left.select("family", "main", parts.alias("parts")), "family"), "rest")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = rest.withColumn("part", F.explode(every("parts")))
+    visit = rest.where("root <> main").withColumn("part", F.pmod(F.xxhash64("id", "family"), "parts").cast("int")).withColumn("own", F.explode(F.filter(every("blocks"), lambda b: b != F.col("own"))))
+    cols = ["id", "tokens", "root", "family", "own", "part"]
+    second = own.select(cols).unionByName(visit.select(cols)).groupBy("family", "own", "part").applyInArrow(link, "a long, b long")
+    return first.unionByName(second)
