@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..model import CellDataset
 from .graph import in_one_task
 from .linalg import design
-from .stats import scalar
 
 # --- ComBat
 
@@ -71,7 +70,7 @@ def combat(ds: CellDataset, key: str = "batch", covariates: Sequence[str] = (),
 
     fit = stats.groupBy("_b").applyInArrow(shrink, "_b string, gene_id long, g double, d double")
     out = z.join(F.broadcast(fit), ["_b", "gene_id"])
-    value = F.when(F.col("v") > 1e-20, (F.col("z") - F.col("g")) / F.sqrt("d") * F.sqrt("v") + F.col("shared")).otherwise(F.lit(0.0))
+    value = F.when(F.col("v") > 1e-20, F.coalesce(F.try_divide(F.col("z") - F.col("g"), F.sqrt("d")), F.lit(0.0)) * F.sqrt("v") + F.col("shared")).otherwise(F.lit(0.0))
     return ds.with_(X=out.select("cell_id", "gene_id", value.alias("value")))
 
 
@@ -169,6 +168,3 @@ def ilisi(points: DataFrame, neighbours: DataFrame, key: str = "batch") -> DataF
     counts = neighbours.join(labels, "dst").groupBy("src", "b").agg(F.count("*").alias("c"))
     per = counts.groupBy("src").agg((F.sum("c") * F.sum("c") / F.sum(F.col("c") * F.col("c"))).alias("ilisi"))
     return per.withColumnRenamed("src", "cell_id")
-
-
-__all__ = ["combat", "harmony_integrate", "ilisi", "scalar"]

@@ -31,7 +31,7 @@ def fold_change(mean: Column, other: Column) -> Column:
 def means(ds: CellDataset, labels: DataFrame, reference: str) -> DataFrame:
     """``(group, gene_id, n, mean, other)``; the other mean is the rest's, by subtraction, or the reference's."""
     m = group_moments(ds.X, labels, ds.var, "group")
-    own = m.select("group", "gene_id", "n", (F.col("s1") / F.col("n")).alias("mean"), ((F.col("t1") - F.col("s1")) / (F.col("n_all") - F.col("n"))).alias("rest"))
+    own = m.select("group", "gene_id", "n", (F.col("s1") / F.col("n")).alias("mean"), F.try_divide(F.col("t1") - F.col("s1"), F.col("n_all") - F.col("n")).alias("rest"))
     if reference == "rest":
         return own.withColumnRenamed("rest", "other")
     ref = own.where(F.col("group") == reference).select("gene_id", F.col("mean").alias("other"))
@@ -78,7 +78,7 @@ def wilcoxon(ds: CellDataset, groupby: str, groups: Sequence[str] | None = None,
     labels = _labels(ds, groupby, groups, reference)
     ranks = rank_sums(ds, labels, reference)
     n, N = F.col("n").cast("double"), F.col("n_all").cast("double")
-    c = 1 - F.col("ties") / (N * N * N - N) if tie_correct else F.lit(1.0)
+    c = 1 - F.coalesce(F.try_divide(F.col("ties"), N * N * N - N), F.lit(0.0)) if tie_correct else F.lit(1.0)
     spread = F.sqrt(c * n * (N - n) * (N + 1) / 12.0)
     score = F.when(spread > 0, (F.col("rank_sum") - n * (N + 1) / 2.0) / spread).otherwise(F.lit(0.0))
     got = ranks.select("group", "gene_id", score.alias("score")).withColumn("pval", normal_p("score"))
@@ -101,9 +101,9 @@ def t_scores(ds: CellDataset, labels: DataFrame, reference: str = "rest", overes
         m = m.select("*", (F.col("n_all") - F.col("n")).alias("n2"), (F.col("t1") - F.col("s1")).alias("r1"), (F.col("t2") - F.col("s2")).alias("r2"))
     n1, n2 = F.col("n").cast("double"), F.col("n2").cast("double")
     v1, v2 = _moment(F.col("s1"), F.col("s2"), n1), _moment(F.col("r1"), F.col("r2"), n2)
-    m = m.select("group", "gene_id", (F.col("s1") / n1).alias("m1"), (F.col("r1") / n2).alias("m2"), n1.alias("n1"), (n1 if overestimate else n2).alias("k2"), v1.alias("v1"), v2.alias("v2"))
-    a, b = F.col("v1") / F.col("n1"), F.col("v2") / F.col("k2")
-    below = a * a / F.nullif(F.col("n1") - 1, F.lit(0.0)) + b * b / F.nullif(F.col("k2") - 1, F.lit(0.0))
+    m = m.select("group", "gene_id", (F.col("s1") / n1).alias("m1"), F.try_divide(F.col("r1"), n2).alias("m2"), n1.alias("n1"), (n1 if overestimate else n2).alias("k2"), v1.alias("v1"), v2.alias("v2"))
+    a, b = F.col("v1") / F.col("n1"), F.coalesce(F.try_divide("v2", "k2"), F.lit(0.0))
+    below = F.try_divide(a * a, F.col("n1") - 1) + F.try_divide(b * b, F.col("k2") - 1)
     df = F.when((a + b > 0) & (below > 0), (a + b) * (a + b) / below).otherwise(F.lit(1.0))
     t = F.when(a + b > 0, (F.col("m1") - F.col("m2")) / F.sqrt(a + b)).otherwise(F.lit(0.0))
     return m.select("group", "gene_id", t.alias("score"), df.alias("df"), fold_change(F.col("m1"), F.col("m2")).alias("logfoldchange"))
@@ -169,7 +169,7 @@ def expressed_fractions(ds: CellDataset, groupby: str) -> DataFrame:
     """``(group, gene_id, inside, outside)``: shares of cells with a stored entry, in the group and in all others."""
     ones = ds.with_(X=ds.X.withColumn("value", F.lit(1.0)))
     m = group_moments(ones.X, ds.obs, ds.var, groupby)
-    return m.select("group", "gene_id", (F.col("s1") / F.col("n")).alias("inside"), ((F.col("t1") - F.col("s1")) / (F.col("n_all") - F.col("n"))).alias("outside"))
+    return m.select("group", "gene_id", (F.col("s1") / F.col("n")).alias("inside"), F.try_divide(F.col("t1") - F.col("s1"), F.col("n_all") - F.col("n")).alias("outside"))
 
 
 def filter_rank_genes_groups(ds: CellDataset, table: DataFrame, groupby: str, min_in: float = 0.25, max_out: float = 0.5, min_fold: float = 2.0) -> DataFrame:

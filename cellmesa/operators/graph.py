@@ -118,7 +118,7 @@ def modularity(graph: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     inside = e.groupBy("la").agg(F.sum("weight").alias("k"), F.sum(F.when(F.col("la") == F.col("lb"), F.col("weight")).otherwise(0.0)).alias("inside"))
     into = e.groupBy("lb").agg(F.sum("weight").alias("kin"))
     per = inside.join(into, F.col("la") == F.col("lb"), "full").select(((F.coalesce("k", F.lit(0.0)) + F.coalesce("kin", F.lit(0.0))) / 2).alias("k"), F.coalesce("inside", F.lit(0.0)).alias("inside"))
-    return per.agg(F.sum("k").alias("m2"), F.sum("inside").alias("s"), F.sum(F.col("k") * F.col("k")).alias("kk")).select((F.col("s") / F.col("m2") - resolution * F.col("kk") / F.col("m2") / F.col("m2")).alias("modularity"))
+    return per.agg(F.sum("k").alias("m2"), F.sum("inside").alias("s"), F.sum(F.col("k") * F.col("k")).alias("kk")).select((F.try_divide("s", "m2") - resolution * F.try_divide(F.col("kk"), F.col("m2") * F.col("m2"))).alias("modularity"))
 
 
 def paga(graph: DataFrame, labels: DataFrame) -> DataFrame:

@@ -111,10 +111,10 @@ def qc_cells(ds: CellDataset, qc_vars: Sequence[str] = (), percent_top: Sequence
 def qc_genes(ds: CellDataset, log1p: bool = True) -> DataFrame:
     agg = ds.X.groupBy("gene_id").agg(F.count_if(F.col("value") != 0).alias("n_cells_by_counts"), F.sum("value").alias("total_counts"))
     got = ds.var.select("gene_id").join(agg, "gene_id", "left").na.fill(0).crossJoin(n_cells(ds.obs))
-    out = [F.col("gene_id"), F.col("n_cells_by_counts"), (F.col("total_counts") / F.col("n_cells")).alias("mean_counts")]
-    out += [(100.0 * (1 - F.col("n_cells_by_counts") / F.col("n_cells"))).alias("pct_dropout_by_counts"), F.col("total_counts")]
+    out = [F.col("gene_id"), F.col("n_cells_by_counts"), F.try_divide("total_counts", "n_cells").alias("mean_counts")]
+    out += [(100.0 * (1 - F.try_divide("n_cells_by_counts", "n_cells"))).alias("pct_dropout_by_counts"), F.col("total_counts")]
     if log1p:
-        out += [F.log1p(F.col("total_counts") / F.col("n_cells")).alias("log1p_mean_counts"), F.log1p("total_counts").alias("log1p_total_counts")]
+        out += [F.log1p(F.try_divide("total_counts", "n_cells")).alias("log1p_mean_counts"), F.log1p("total_counts").alias("log1p_total_counts")]
     return got.select(*out)
 
 
@@ -137,12 +137,12 @@ def dispersions(ds: CellDataset, flavor: str = "seurat") -> DataFrame:
         stats = stats.select("gene_id", F.log1p(mean).alias("means"), F.when(disp == 0, nan).otherwise(F.log(disp)).alias("dispersions"))
         span = scalar(stats.agg(F.min("means").alias("lo"), F.max("means").alias("hi")))
         # right-closed bins of equal width, the first edge moved down by a thousandth of the range
-        at = F.ceil((F.col("means") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS - 1e-12).cast("int")
+        at = F.ceil(F.try_divide(F.col("means") - F.col("lo"), F.col("hi") - F.col("lo")) * BINS - 1e-12).cast("int")
         binned = stats.crossJoin(span).withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.greatest(F.lit(1), F.least(F.lit(BINS), at))).otherwise(F.lit(1)))
         defined = ~F.isnan("dispersions")
         own = binned.where(defined).groupBy("bin").agg(F.avg("dispersions").alias("m"), F.stddev_samp("dispersions").alias("s"), F.count("*").alias("k"))
         met = binned.join(F.broadcast(own), "bin", "left")
-        norm = F.when(F.isnan("dispersions"), nan).when(F.col("k") == 1, F.lit(1.0)).otherwise((F.col("dispersions") - F.col("m")) / F.col("s"))
+        norm = F.when(F.isnan("dispersions"), nan).when(F.col("k") == 1, F.lit(1.0)).otherwise(F.coalesce(F.try_divide(F.col("dispersions") - F.col("m"), F.col("s")), nan))
         return met.select("gene_id", "means", "dispersions", norm.alias("dispersions_norm"))
     stats = stats.select("gene_id", mean.alias("means"), disp.alias("dispersions"))
     points = [round(0.05 * i, 2) for i in range(2, 21)]
@@ -153,13 +153,15 @@ def dispersions(ds: CellDataset, flavor: str = "seurat") -> DataFrame:
     med = F.broadcast(binned.groupBy("bin").agg(F.percentile("dispersions", F.lit(0.5)).alias("med")))
     met = binned.join(med, "bin")
     mad = F.broadcast(met.groupBy("bin").agg((F.percentile(F.abs(F.col("dispersions") - F.col("med")), F.lit(0.5)) / MAD_TO_SD).alias("mad")))
-    return met.join(mad, "bin").select("gene_id", "means", "dispersions", ((F.col("dispersions") - F.col("med")) / F.col("mad")).alias("dispersions_norm"))
+    gap = F.col("dispersions") - F.col("med")
+    flat = F.when(gap == 0, nan).otherwise(F.signum(gap) * float("inf"))
+    return met.join(mad, "bin").select("gene_id", "means", "dispersions", F.coalesce(F.try_divide(gap, F.col("mad")), flat).alias("dispersions_norm"))
 
 
 def highly_variable_genes(ds: CellDataset, n_top_genes: int = 2000, flavor: str = "seurat") -> DataFrame:
     """``(gene_id, means, dispersions_norm, highly_variable)``: genes at or above the cut-off of the n-th; ties widen."""
     table = dispersions(ds, flavor)
-    ranked = table.where(~F.isnan("dispersions_norm")).withColumn("_r", F.rank().over(Window.orderBy(F.desc("dispersions_norm"))))
+    ranked = table.where(~F.isnan("dispersions_norm")).withColumn("_r", F.rank().over(Window.orderBy(F.desc(F.round("dispersions_norm", 10)))))
     top = ranked.where(F.col("_r") <= n_top_genes).select("gene_id", F.lit(True).alias("highly_variable"))
     return table.join(top, "gene_id", "left").select("gene_id", "means", "dispersions_norm", F.coalesce("highly_variable", F.lit(False)).alias("highly_variable"))
 

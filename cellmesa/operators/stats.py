@@ -22,8 +22,8 @@ def gene_moments(x: DataFrame, obs: DataFrame, var: DataFrame, value: Column | N
     own = x.groupBy("gene_id").agg(F.count(v).alias("k"), F.avg(v).alias("m"), F.coalesce(F.var_pop(v), F.lit(0.0)).alias("s"))
     all_ = var.select("gene_id").join(own, "gene_id", "left").crossJoin(n_cells(obs))
     k, m, n = F.coalesce("k", F.lit(0)), F.coalesce("m", F.lit(0.0)), F.col("n_cells")
-    square = k * F.coalesce("s", F.lit(0.0)) + m * m * k * (n - k) / n
-    return all_.select("gene_id", (k * m / n).alias("mean"), F.when(n > 1, square / (n - 1)).otherwise(F.lit(0.0)).alias("var"))
+    square = k * F.coalesce("s", F.lit(0.0)) + F.try_divide(m * m * k * (n - k), n)
+    return all_.select("gene_id", F.try_divide(k * m, n).alias("mean"), F.when(n > 1, square / (n - 1)).otherwise(F.lit(0.0)).alias("var"))
 
 
 def group_moments(x: DataFrame, obs: DataFrame, var: DataFrame, group: str, value: Column | None = None) -> DataFrame:
