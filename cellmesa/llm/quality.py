@@ -128,6 +128,19 @@ def ablations(rows: DataFrame, policy: Sequence[str] = POLICIES[CURRENT]) -> Dat
     return rows.agg(F.array(*each).alias("x"), F.bit_or("failures").alias("any_failed")).select(F.inline("x"))
 
 
+def passing(docs: DataFrame, policy: Sequence[str] = POLICIES[CURRENT], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that a policy keeps, with all their columns.
+
+    The row number stands between the test and the measurements: a filter is never moved below a projection that is not
+    deterministic. Moved there, it would be written out in terms of the text, with every shared intermediate copied at each
+    of its uses, and outgrow the optimizer.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = ledger(measure(docs.toDF(*names), names[docs.columns.index(text_col)], names)).withColumn("row", F.monotonically_increasing_id())
+    kept = rows.where(passes(policy) & (F.col("row") >= 0))
+    return kept.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
+
+
 def quality_rules(docs: DataFrame, policy: Sequence[str] = POLICIES[CURRENT], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Measurements, failure bits, ``base_failed`` and ``kept`` under ``policy`` for every row."""
     rows = ledger(measure(docs, text_col, (id_col,)))

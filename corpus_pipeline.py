@@ -9,7 +9,6 @@ decodes what is left.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cellmesa.llm import bpe, jaccard, mixing, quality
 from cellmesa.llm.common import stored
@@ -20,11 +19,7 @@ ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    rows = docs.toDF(*names)
-    text = names[docs.columns.index("text")]
-    kept = quality.ledger(quality.measure(rows, text, names)).where(quality.passes(quality.POLICIES[quality.CURRENT]))
-    return kept.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
+    return quality.passing(docs)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

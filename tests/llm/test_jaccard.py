@@ -51,6 +51,8 @@ def corpus(seed, n=60):
 @pytest.mark.parametrize(("seed", "k", "num", "den", "block"), [(1, 4, 85, 100, 1024), (2, 5, 80, 100, 2), (3, 3, 70, 100, 5), (4, 1, 50, 100, 3)])
 def test_components_equal_brute_force(spark, monkeypatch, seed, k, num, den, block):
     monkeypatch.setattr(jaccard, "BLOCK_DOCS", block)
+    if seed == 4:  # a sketch that tells nothing apart
+        monkeypatch.setattr(jaccard, "bucket", lambda tokens: np.zeros(len(tokens), np.int64))
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, component int").repartition(3)
     got = jaccard.jaccard_components(df, k, num, den).collect()
