@@ -44,7 +44,7 @@ def combat(ds: CellDataset, key: str = "batch", covariates: Sequence[str] = (),
     betas = ds.var.select("gene_id").join(sums, "gene_id", "left").na.fill(0.0)
     betas = betas.select("gene_id", *(sum((F.col(f"s_{b}") * float(inverse[i, j]) for j, b in enumerate(columns)), F.lit(0.0)).alias(f"w_{a}") for i, a in enumerate(columns)))
     grand = sum((F.col(f"w_b{i}") * float(c / n) for i, c in enumerate(counts)), F.lit(0.0))
-    dense = d.crossJoin(F.broadcast(betas.withColumn("grand", grand))).join(ds.X, ["cell_id", "gene_id"], "left").withColumn("y", F.coalesce("value", F.lit(0.0)))
+    dense = d.crossJoin(betas.withColumn("grand", grand)).join(ds.X, ["cell_id", "gene_id"], "left").withColumn("y", F.coalesce("value", F.lit(0.0)))
     fitted = sum((F.col(a) * F.col(f"w_{a}") for a in columns), F.lit(0.0))
     shared = F.col("grand") + sum((F.col(a) * F.col(f"w_{a}") for a in cov), F.lit(0.0))
     dense = dense.select("cell_id", "gene_id", "_b", "y", fitted.alias("fit"), shared.alias("shared"))
@@ -69,7 +69,7 @@ def combat(ds: CellDataset, key: str = "batch", covariates: Sequence[str] = (),
         return pa.table({"_b": t.column("_b"), "gene_id": t.column("gene_id"), "g": gs, "d": ds_})
 
     fit = stats.groupBy("_b").applyInArrow(shrink, "_b string, gene_id long, g double, d double")
-    out = z.join(F.broadcast(fit), ["_b", "gene_id"])
+    out = z.join(fit, ["_b", "gene_id"])
     value = F.when(F.col("v") > 1e-20, F.coalesce(F.try_divide(F.col("z") - F.col("g"), F.sqrt("d")), F.lit(0.0)) * F.sqrt("v") + F.col("shared")).otherwise(F.lit(0.0))
     return ds.with_(X=out.select("cell_id", "gene_id", value.alias("value")))
 

@@ -191,7 +191,7 @@ def scale(ds: CellDataset, zero_center: bool = True, max_value: float | None = N
     """
     stats = gene_scale(ds)
     if zero_center:
-        dense = ds.obs.select("cell_id").crossJoin(F.broadcast(stats)).join(ds.X, ["cell_id", "gene_id"], "left")
+        dense = ds.obs.select("cell_id").crossJoin(stats).join(ds.X, ["cell_id", "gene_id"], "left")
         v = (F.coalesce("value", F.lit(0.0)) - F.col("mean")) / F.col("sd")
     else:
         dense, v = ds.X.join(stats, "gene_id"), F.col("value") / F.col("sd")

@@ -88,3 +88,23 @@ def row_blocks(ds: CellDataset, block_size: int) -> DataFrame:
     placed = ranked.withColumn("block", F.expr(f"at div {int(block_size)}"))
     stored = ds.X.groupBy("cell_id").agg(F.count("*").alias("k"))
     return placed.join(stored, "cell_id", "left").groupBy("block").agg(F.min("at").alias("start"), F.count("*").alias("n_rows"), F.coalesce(F.sum("k"), F.lit(0)).alias("n_stored"))
+
+
+def rewrite_matrix(spark: SparkSession, path: str, change) -> CellDataset:
+    """Replace the matrix of a dataset on disk by ``change(dataset).X``, cluster-side and without holding it anywhere.
+
+    The new version is written beside the old one and then takes its place, so a failed run leaves the old one whole. The
+    pattern of stored entries has to stay: another number of entries is an error.
+    """
+    old = open_backed(spark, path)
+    new_path, x_path = f"{path}/X.new", f"{path}/X"
+    change(old).X.write.mode("overwrite").parquet(new_path)
+    if spark.read.parquet(new_path).count() != old.X.count():
+        raise ValueError("the number of stored entries has changed")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(x_path)
+    fs = target.getFileSystem(conf)
+    fs.delete(target, True)
+    if not fs.rename(jvm.org.apache.hadoop.fs.Path(new_path), target):
+        raise OSError(f"{new_path} could not take the place of {x_path}")
+    return open_backed(spark, path)

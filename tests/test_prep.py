@@ -176,3 +176,15 @@ def test_dataset_files_and_blocks(spark, tmp_path):
     broken = ds.with_(X=ds.X.union(spark.createDataFrame([(99, 0, 1.0), (0, 99, 1.0), (0, 99, 2.0)], ds.X.schema)))
     assert {r.problem: r.n for r in broken.problems().collect()} == {"unknown cell": 1, "unknown gene": 2, "repeated entry": 1}
     assert 0 < ds.density() < 1
+
+
+def test_matrix_is_rewritten_on_disk(spark, tmp_path):
+    a = counts(8, 15, 4)
+    path = f"file://{tmp_path}/d"
+    dataset(spark, a).write(path)
+    back = tables.rewrite_matrix(spark, path, lambda ds: prep.log1p(prep.normalize_total(ds, 100.0)))
+    total = a.sum(1, keepdims=True)
+    assert np.allclose(dense(back.X, a.shape), np.log1p(a * 100 / np.where(total == 0, 1, total)))
+    with pytest.raises(ValueError):
+        tables.rewrite_matrix(spark, path, lambda ds: ds.with_(X=ds.X.where("cell_id < 3")))
+    assert tables.open_backed(spark, path).X.count() == (a > 0).sum()
