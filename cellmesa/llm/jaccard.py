@@ -1,11 +1,12 @@
 """N-gram Jaccard join: T-occurrence search over the shingle sets of whole texts.
 
 1. Each text becomes a set of 64-bit shingle hashes. Equal sets are one class, found by a grouped minimum.
-2. Families. Sets of similar size share a band. In a band whose linked pairs differ in at most H shingles, the hash range is
-   cut into P > H slices, so at least one slice of a linked pair is equal in both sets (slices that are empty in many
-   sets are allowed for, see ``band``). Documents that share a slice's signature meet in one family, so no link leaves a
-   family. A task links copies among its own documents first and sends one posting for each signature. Families too large
-   for one block are split again by signatures of larger pieces (``fine_signatures``), again without losing a link.
+2. Families. Shingles are ordered from rare to frequent by a sketch of counts over all distinct sets: an array of fixed size,
+   which alone is broadcast. A linked pair shares one of the first ``|A| - ceil(t |A|) + 1`` shingles of either set in any
+   order that both follow, so documents of similar size that share one of those meet in a family, and no link leaves a
+   family. (The sketch only decides how many documents meet for nothing.) A task joins its own documents first and sends two
+   postings at most for a shingle and range of sizes. Families too large for one block are split again by signatures of pieces of the sets
+   (``fine_signatures``), again without losing a link.
 3. Within a family, or a block of it where it is large, each document queries an inverted index of those before it:
    short lists are heap-merged, the L longest are probed by bisection (DivideSkip of Li, Lu and Lu 2008), and documents
    that reach the required overlap are linked. Documents already in the query's component need no search, and a component
@@ -21,8 +22,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
+import zlib
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -31,10 +34,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, slices, stored
+from .common import components, slices, small_batches, stored
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
+#: Counters of the sketch, a byte each, and the chunks in which it is added up.
+SKETCH_BITS, CHUNKS = 24, 64
+#: Steps of the scale of sizes in a doubling.
+LEVELS = 256
 #: Postings that a task gathers before it sends them.
 FLUSH = 500_000
 #: A block of a family holds so many documents and so many shingles, or one document.
@@ -94,38 +101,24 @@ class Bands:
         base = next(i for i in range(len(self.edges) - 1, -1, -1) if self.edges[i] <= size)
         return [b for b in (base - 1, base) if b >= 0]
 
-    def band(self, b: int) -> tuple[int, int, int]:
-        """(slices, slack, H). Linked sets differ in at most H slices, so slack + 1 = slices - H are equal in both. A set with
-        more empty slices than the slack sends those too; with any other, an equal slice that is not empty remains."""
+    def differ(self, b: int) -> int:
+        """In how many shingles linked sets of a band may differ."""
         if b not in self.told:
-            self.of(self.edges[-1])
             while len(self.edges) < b + 3:
                 self.of(self.edges[-1])
-            low, top = self.edges[b], self.edges[b + 2] - 1
-            differ = 2 * top * (self.den - self.num) // (self.den + self.num)
-            empty = (differ + 1) * math.exp(-low / (differ + 1))
-            slack = math.ceil(empty + 4 * math.sqrt(empty))
-            self.told[b] = (differ + 1 + slack if differ else 0, slack, differ)
+            self.told[b] = 2 * (self.edges[b + 2] - 1) * (self.den - self.num) // (self.den + self.num)
         return self.told[b]
 
 
-def signatures(tokens: np.ndarray, bands: Bands) -> np.ndarray:
-    """A key for each slice of a set in each of its bands; none in bands whose linked sets are equal."""
-    out = []
-    own = mixed(tokens + np.uint64(0x1234567))
-    for b in bands.of(len(tokens)):
-        count, slack, _ = bands.band(b)
-        if not count:
-            continue
-        at = ((tokens >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
-        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        full = at[first]
-        sums = np.add.reduceat(own, first)
-        out.append(mixed(sums ^ mixed((full + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(b))))
-        if count - len(full) > slack:
-            empty = np.setdiff1d(np.arange(count, dtype=np.uint64), full)
-            out.append(mixed(mixed((empty + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(b)) + np.uint64(77)))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+def bucket(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def prefix(tokens: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The rarest shingles of a set, as many as a linked set cannot all lack."""
+    size = len(tokens)
+    first = np.lexsort((tokens, counts[bucket(tokens)]))[: size - (-(-num * size // den)) + 1]
+    return mixed(tokens[first])
 
 
 #: Of the pieces of a part, so many are left out of a signature: a part of a linked pair differs in no more of them.
@@ -134,7 +127,7 @@ _KEPT = [c for k in range(LEFT_OUT + 1) for c in combinations(range(PIECES), PIE
 
 
 def fine_signatures(tokens: np.ndarray, bands: Bands) -> np.ndarray:
-    """Keys that hold about two thirds of a third of the slices each (PartEnum of Arasu, Ganti and Kaushik 2006).
+    """Keys that each stand for a piece of a set (PartEnum of Arasu, Ganti and Kaushik 2006).
 
     The hash range has n > H / 3 parts of six pieces, so a linked pair differs in at most two shingles, hence pieces, of some
     part; a key stands for a part and a choice of pieces, as many left out as the pair may differ in.
@@ -142,7 +135,7 @@ def fine_signatures(tokens: np.ndarray, bands: Bands) -> np.ndarray:
     out = []
     own = mixed(tokens + np.uint64(0x7654321))
     for b in bands.of(len(tokens)):
-        _, _, differ = bands.band(b)
+        differ = bands.differ(b)
         if not differ:
             continue
         parts = differ // (LEFT_OUT + 1) + 1
@@ -158,63 +151,69 @@ def fine_signatures(tokens: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def _runs(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted by key: where each run of a key starts, the keys and the documents (smallest first in a run)."""
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    return np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64), keys, docs
+def levels(sizes: np.ndarray) -> np.ndarray:
+    """Sizes on a fine logarithmic scale."""
+    return (np.log2(np.maximum(sizes, 1)) * LEVELS).astype(np.uint16)
 
 
-def _stars(start: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Distinct (hub, other) pairs of the runs."""
-    hub = np.repeat(docs[start], np.diff(np.append(start, len(docs)))) if len(docs) else docs
-    pair = np.stack([hub, docs], 1)[hub != docs]
-    return np.unique(pair, axis=0) if len(pair) else pair
+def _edges(keys: np.ndarray, level: np.ndarray, docs: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order by key, level and document, and the distinct pairs of neighbours in it of one key and of sizes that can link."""
+    order = np.lexsort((docs, level, keys))
+    k, v, d = keys[order], level[order].astype(np.int64), docs[order]
+    met = np.flatnonzero((k[1:] == k[:-1]) & (v[1:] - v[:-1] <= near) & (d[1:] != d[:-1]))
+    pairs = np.stack([np.minimum(d[met], d[met + 1]), np.maximum(d[met], d[met + 1])], 1)
+    return order, np.unique(pairs, axis=0) if len(pairs) else pairs
 
 
-def family_edges(rows: DataFrame, reader: Callable[[], Callable[[object], np.ndarray]], sign: Callable[[np.ndarray, Bands], np.ndarray], num: int, den: int) -> DataFrame:
+def family_edges(rows: DataFrame, reader: Callable[[], Callable[[object], np.ndarray]], signer: Callable[[], Callable[[np.ndarray], np.ndarray]], num: int, den: int) -> DataFrame:
     """``(a, b)``: edges that connect the documents of each family.
 
-    ``rows``: an id and what a function that ``reader`` makes turns into a set; ``sign`` gives a set's keys.
+    ``rows``: an id and what a function that ``reader`` makes turns into a set; one that ``signer`` makes gives a set's keys.
+    Of documents that share a key, those next to each other in size are joined if their sizes can link; a task only sends the
+    smallest and largest of those whose sizes can all link with each other, as whoever can link with one can with either.
     """
+    near = math.ceil(math.log2(den / num) * LEVELS) + 1
     parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def send(keys: list[np.ndarray], owner: list[int]) -> pa.RecordBatch:
-        key = np.concatenate(keys)
-        doc = np.repeat(np.array(owner, np.int64), [len(x) for x in keys])
-        start, key, doc = _runs(key, doc)
-        star = _stars(start, doc)
-        link = mixed(mixed(star[:, 0].astype(np.uint64)) ^ star[:, 1].astype(np.uint64) * np.uint64(31))
-        key, doc = np.concatenate([key[start], link, link]), np.concatenate([doc[start], star[:, 0], star[:, 1]])
+    def send(keys: list[np.ndarray], owner: list[tuple[int, int]]) -> pa.RecordBatch:
+        sizes = [len(x) for x in keys]
+        key, doc = np.concatenate(keys), np.repeat(np.array([d for d, _ in owner], np.int64), sizes)
+        level = np.repeat(levels(np.array([n for _, n in owner])), sizes)
+        order, pairs = _edges(key, level, doc, near)
+        key, level, doc = key[order], level[order], doc[order]
+        cell = level // near
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])))
+        ends = new | np.append(new[1:], True)
+        link = mixed(mixed(pairs[:, 0].astype(np.uint64)) ^ pairs[:, 1].astype(np.uint64) * np.uint64(31))
+        key, doc = np.concatenate([key[ends], link, link]), np.concatenate([doc[ends], pairs[:, 0], pairs[:, 1]])
+        level = np.concatenate([level[ends], np.zeros(2 * len(link), np.uint16)])
         part = ((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         order = np.lexsort((doc, part))
-        key, doc, part = key[order].astype(np.uint32), doc[order], part[order]
-        ends = np.searchsorted(part, np.arange(parts + 1))
-        rows = [i for i in range(parts) if ends[i] < ends[i + 1]]
-        cut = [slice(ends[i], ends[i + 1]) for i in rows]
+        key, doc, level, part = key[order].astype(np.uint32), doc[order], level[order], part[order]
+        at = np.searchsorted(part, np.arange(parts + 1))
+        rows = [i for i in range(parts) if at[i] < at[i + 1]]
+        cut = [slice(at[i], at[i + 1]) for i in rows]
         gaps = [np.diff(doc[c], prepend=0) for c in cut]
-        wide = [g.astype(np.int32) if len(g) and -(2**31) <= g.min() and g.max() < 2**31 else g for g in gaps]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(rows, pa.int32()), pa.array([key[c].tobytes() for c in cut], pa.binary()), pa.array([g.tobytes() for g in wide], pa.binary())],
-            names=["part", "keys", "gaps"],
-        )
+        gaps = [g.astype(np.int32) if -(2**31) <= g.min() and g.max() < 2**31 else g for g in gaps]
+        columns = [[key[c].tobytes() for c in cut], [g.tobytes() for g in gaps], [level[c].tobytes() for c in cut]]
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *(pa.array(x, pa.binary()) for x in columns)], names=["part", "keys", "gaps", "levels"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, bands, seen, keys, owner, held = reader(), Bands(num, den), set(), [], [], 0
+        read, sign, seen, keys, owner, held = reader(), signer(), set(), [], [], 0
         for batch in slices(batches, 1):
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens = read(value)
                 if doc is None or not len(tokens) or (same := set_key(tokens)) in seen:
                     continue  # equal sets are linked by their class
                 seen.add(same)
-                if len(got := sign(tokens, bands)):
+                if len(got := sign(tokens)):
                     keys.append(got)
-                    owner.append(doc)
+                    owner.append((doc, len(tokens)))
                     held += len(got)
                 if held >= FLUSH:
                     yield send(keys, owner)
                     keys, owner, held = [], [], 0
-                    if len(seen) > 1_000_000:
+                    if len(seen) > 200_000:
                         seen.clear()
         if keys:
             yield send(keys, owner)
@@ -224,11 +223,11 @@ def family_edges(rows: DataFrame, reader: Callable[[], Callable[[object], np.nda
         for k, g in zip(table.column("keys").to_pylist(), table.column("gaps").to_pylist(), strict=True):
             key.append(np.frombuffer(k, np.uint32))
             doc.append(np.cumsum(np.frombuffer(g, np.int32 if len(g) == len(k) else np.int64), dtype=np.int64))
-        start, _, doc = _runs(np.concatenate(key), np.concatenate(doc))
-        star = _stars(start, doc)
-        return pa.table({"a": star[:, 0], "b": star[:, 1]})
+        level = np.frombuffer(b"".join(table.column("levels").to_pylist()), np.uint16)
+        _, pairs = _edges(np.concatenate(key), level, np.concatenate(doc), near)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    posted = rows.mapInArrow(work, "part int, keys binary, gaps binary")
+    posted = rows.mapInArrow(work, "part int, keys binary, gaps binary, levels binary")
     return posted.groupBy("part").applyInArrow(meet, "a long, b long").distinct()
 
 
@@ -344,29 +343,64 @@ def t_occurrence_links(ids: list[int], sets: list[np.ndarray], num: int, den: in
 
 
 def class_rows(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """``(id, n_shingles, hi, lo)`` for every row: the size and the 128-bit key of its shingle set."""
+    """``(id, n_shingles, hi, lo, chunk, counts)``: for every row the size and the 128-bit key of its shingle set, and from every
+    task the chunks of its sketch: how often, up to 255, it has met each bucket of shingles in distinct sets."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(words)
+        shingle, seen, sketch = Shingler(words), set(), np.zeros(1 << SKETCH_BITS, np.uint8)
         for batch in slices(batches, 1):
             sets = [shingle(t) for t in batch.column(1).to_pylist()]
             keys = [set_key(x) for x in sets]
+            fresh = []
+            for key, tokens in zip(keys, sets, strict=True):
+                if key not in seen:
+                    seen.add(key)
+                    fresh.append(tokens)
+            if len(seen) > 200_000:
+                seen.clear()
+            at, n = np.unique(bucket(np.concatenate(fresh)) if fresh else np.empty(0, np.int64), return_counts=True)
+            sketch[at] = np.minimum(255, sketch[at] + n)
+            none = pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())],
-                names=["id", "n_shingles", "hi", "lo"],
+                [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), *none],
+                names=["id", "n_shingles", "hi", "lo", "chunk", "counts"],
             )
+        parts = [(i, c) for i, c in enumerate(np.split(sketch, CHUNKS)) if c.any()]
+        none = [pa.nulls(len(parts), pa.int64()) for _ in range(4)]
+        packed = pa.array([zlib.compress(c.tobytes(), 1) for _, c in parts], pa.binary())
+        yield pa.RecordBatch.from_arrays([*none, pa.array([i for i, _ in parts], pa.int32()), packed], names=["id", "n_shingles", "hi", "lo", "chunk", "counts"])
+
+    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    return rows.mapInArrow(work, "id long, n_shingles long, hi long, lo long, chunk int, counts binary")
+
+
+def merged_sketch(parts: DataFrame) -> np.ndarray:
+    """The sum of all tasks' sketches, up to 255: ``1 << SKETCH_BITS`` bytes on the driver, whatever the input's size."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros((1 << SKETCH_BITS) // CHUNKS, np.uint16)
+        for raw in table.column("counts").to_pylist():
+            total = np.minimum(255, total + np.frombuffer(zlib.decompress(raw), np.uint8))
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": [zlib.compress(total.astype(np.uint8).tobytes(), 1)]})
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(work, "id long, n_shingles long, hi long, lo long")
+    sketch = np.zeros((CHUNKS, (1 << SKETCH_BITS) // CHUNKS), np.uint8)
+    for chunk, raw in parts.groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect():
+        sketch[chunk] = np.frombuffer(zlib.decompress(raw), np.uint8)
+    return sketch.ravel()
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_shingles, component_id)`` for every row; links are pairs with Jaccard >= num / den."""
-    rows = stored(class_rows(docs, words, id_col, text_col), "sets")
+    small_batches(docs.sparkSession)
+    told = stored(class_rows(docs, words, id_col, text_col), "sets")
+    rows = told.where("chunk is null").select("id", "n_shingles", "hi", "lo")
+    sketch = docs.sparkSession.sparkContext.broadcast(merged_sketch(told.where("chunk is not null").select("chunk", "counts")))
     classes = rows.where("n_shingles > 0 and id is not null").groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"))
     copies = rows.where("n_shingles > 0").join(classes.where("copies > 1").select("hi", "lo", "rep"), ["hi", "lo"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     links = stored(copies.distinct(), "copies")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    families = components(family_edges(texts, lambda: Shingler(words), signatures, num, den).unionByName(links))
+    by_rarity = lambda: lambda tokens: prefix(tokens, sketch.value, num, den)
+    families = components(family_edges(texts, lambda: Shingler(words), by_rarity, num, den).unionByName(links))
     members = stored(classes.select(F.col("rep").alias("id"), "n").groupBy("id").agg(F.max("n").alias("n")).join(families, "id"), "members")
     placed = _blocks(members.select("id", "n", F.col("component").alias("family")))
 
@@ -388,7 +422,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     found = links.unionByName(held.where("blocks = 1").select("id", "tokens", "family").groupBy("family").applyInArrow(link, "a long, b long"))
     large = held.where("blocks > 1").select("id", "tokens")
     if not large.isEmpty():
-        parts = components(family_edges(large, lambda: lambda raw: np.frombuffer(raw, np.uint64), fine_signatures, num, den))
+        in_pieces = lambda: partial(fine_signatures, bands=Bands(num, den))
+        parts = components(family_edges(large, lambda: lambda raw: np.frombuffer(raw, np.uint64), in_pieces, num, den))
         sized = large.select("id", (F.octet_length("tokens") / 8).cast("long").alias("n")).groupBy("id").agg(F.max("n").alias("n"))
         split = stored(_blocks(sized.join(parts, "id").select("id", "n", F.col("component").alias("family"))), "families")
         again = stored(large.join(split, "id"), "family-sets")
