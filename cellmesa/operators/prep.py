@@ -129,7 +129,8 @@ def dispersions(ds: CellDataset, flavor: str = "seurat") -> DataFrame:
     if flavor not in ("seurat", "cell_ranger"):
         raise ValueError(f"unknown flavor {flavor!r}")
     seurat = flavor == "seurat"
-    stats = gene_moments(ds.X, ds.obs, ds.var, F.expm1("value") if seurat else None)
+    # one row per gene, used for the bins' edges, their statistics and the result
+    stats = gene_moments(ds.X, ds.obs, ds.var, F.expm1("value") if seurat else None).persist()
     nan = F.lit(float("nan"))
     mean = F.when(F.col("mean") == 0, F.lit(1e-12)).otherwise(F.col("mean"))
     disp = F.col("var") / mean
