@@ -197,3 +197,50 @@ def test_held_out_accuracy(spark, model):
     got = [(r.family, r.b.family if r.b.p > model.threshold else licenses.UNKNOWN) for r in rows.collect()]
     assert sum(a == b for a, b in got) >= 0.95 * len(got)
     assert all(b == licenses.UNKNOWN for a, b in got if a == licenses.UNKNOWN)
+
+
+def test_wrapped_licences(spark, model):
+    mit = """MIT License
+
+Copyright (c) 2020 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software.
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+"""
+    gpl = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+"""
+    comment = lambda t, mark: "\r\n".join(f"{mark} {x}".rstrip() for x in t.split("\n"))
+    texts = [
+        (mit, ["mit"], 2),
+        (bsd, ["bsd-3-clause"], 2),
+        (gpl, ["gpl-3.0"], 1),
+        (comment(mit, " *"), ["mit"], 2),
+        (comment(bsd, "#"), ["bsd-3-clause"], 2),
+        (comment(gpl, "//"), ["gpl-3.0"], 1),
+        (licenses.TEMPLATES["gpl-3.0"][1].replace(" ", "\n"), ["gpl-3.0"], 1),
+        ("This work is licensed under a Creative Commons Attribution-\nNonCommercial 4.0 International License.", ["cc-by-nc-4.0"], 1),
+        ("Licensed under the MIT License.\nLicensed under the Apache License, Version 2.0.\nHe renewed his driver's license.", ["apache-2.0", "mit"], 2),
+        ("\n".join(licenses.COUNTEREXAMPLES), [], 0),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.licenses, r.n_paragraphs) for r in licenses.scan(df, model).collect()}
+    assert got == {i: (names, n) for i, (_, names, n) in enumerate(texts)}
