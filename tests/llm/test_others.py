@@ -244,3 +244,20 @@ modification, are permitted provided that the following conditions are met:
     df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: (r.licenses, r.n_paragraphs) for r in licenses.scan(df, model).collect()}
     assert got == {i: (names, n) for i, (_, names, n) in enumerate(texts)}
+
+
+def test_cues_in_any_spelling(spark, model):
+    from pyspark.sql import functions as F
+
+    spellings = (lambda t: t, lambda t: t.replace(" ", "-"), lambda t: t.replace(" ", "\t"), lambda t: t.replace("CC BY", "CC-BY"), lambda t: t.replace(" ", "\u00a0"), lambda t: t.replace(" ", "\n"), str.upper)
+    rows = [(100 * i + k, f(t)) for i, t in enumerate(t for texts in licenses.TEMPLATES.values() for t in texts) for k, f in enumerate(spellings)]
+    more = {-1: ("Content is available under CC-BY-SA 4.0 unless otherwise noted.", ["cc-by-sa-4.0"]), -2: ("Released under CC-BY-NC 4.0 for noncommercial use.", ["cc-by-nc-4.0"]), -3: ("Accounts of a summit in the commonwealth of submitted domains.", [])}
+    df = spark.createDataFrame(rows + [(i, t) for i, (t, _) in more.items()], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.scan(df, model).collect()}
+    assert {i: got[i] for i in more} == {i: names for i, (_, names) in more.items()}
+    # words are the same in every spelling, and so is what is found
+    assert all(got[i] == got[i - i % 100] for i, _ in rows)
+    # each word that a feature holds passes the text's pattern wherever it stands
+    stems = [w.strip("^$") for w in licenses.CUE_WORD.split("|")]
+    ends = spark.createDataFrame([(f"a{x}{w}{y}",) for w in stems for x in "-\t _\n/(" for y in ("", "-b", "\t", ".", "\n")], "t string")
+    assert ends.where(~licenses.has_cue(F.col("t"))).count() == 0
