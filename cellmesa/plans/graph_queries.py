@@ -296,17 +296,17 @@ def nb_glm_wald(spark, d):
 
 @query()
 def umap(spark, d):
-    return kernels.umap(fuzzy(spark, d), n_epochs=50)
+    return kernels.umap(fuzzy(spark, d))
 
 
 @query()
 def tsne(spark, d):
-    return kernels.tsne(points(spark, d), n_iter=300)
+    return kernels.tsne(points(spark, d))
 
 
 @query()
 def draw_graph(spark, d):
-    return kernels.draw_graph(fuzzy(spark, d), n_iterations=100)
+    return kernels.draw_graph(fuzzy(spark, d))
 
 
 # --- streams

@@ -280,3 +280,15 @@ def test_count_models(spark):
     assert fit.where("not converged").count() == 0
     with pytest.raises(Exception, match="every cell"):
         linalg.size_factors(dataset(spark, np.eye(4))).collect()
+
+
+def test_registered_layouts_run_the_whole_schedule(monkeypatch):
+    from cellmesa.plans import QUERIES, graph_queries
+
+    for name in ("fuzzy", "points"):
+        monkeypatch.setattr(graph_queries, name, lambda spark, d: None)
+    for name in ("umap", "tsne", "draw_graph"):
+        given = {}
+        monkeypatch.setattr(kernels, name, lambda df, given=given, **named: given.update(named))
+        QUERIES[name](None, "")
+        assert not given.keys() & {"n_epochs", "n_iter", "n_iterations"}, name
