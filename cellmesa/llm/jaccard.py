@@ -1,20 +1,20 @@
 """N-gram Jaccard join: T-occurrence search over the shingle sets of whole texts.
 
-1. Each text becomes a set of 64-bit shingle hashes. Equal sets are one class, found by a grouped minimum.
-2. Families. Shingles are ordered from rare to frequent by a sketch of counts over all distinct sets: an array of fixed size,
-   which alone is broadcast. A linked pair shares one of the first ``|A| - ceil(t |A|) + 1`` shingles of either set in any
-   order that both follow, so documents of similar size that share one of those meet in a family, and no link leaves a
-   family. (The sketch only decides how many documents meet for nothing.) A task joins its own documents first and sends two
-   postings at most for a shingle and range of sizes. Families too large for one block are split again by signatures of pieces of the sets
-   (``fine_signatures``), again without losing a link.
+1. Each text becomes a set of 64-bit shingle hashes. Equal sets are one class, found by a grouped minimum; from here on a class
+   is one document.
+2. Families. A set is cut into parts by ranges of hashes, and linked sets agree on some part (``signatures``), so documents
+   that share a signature meet in a family and no link leaves one. A signature takes several shingles at once, so a passage
+   that many documents share brings few of them together. A task joins its own documents first and sends one posting for a
+   signature. Families too large for one block are dealt again by signatures of more shingles.
 3. Within a family, or a block of it where it is large, each document queries an inverted index of those before it:
    short lists are heap-merged, the L longest are probed by bisection (DivideSkip of Li, Lu and Lu 2008), and documents
    that reach the required overlap are linked. Documents already in the query's component need no search, and a component
    of many documents is first tried through one of them, so that a family of near copies takes linear time.
-4. Links and classes make components.
+4. Links make components of classes, and each row takes its class's.
 
 Shingles are told apart by 64-bit hashes. Null and empty texts have the empty set and link with nothing. Rows that share an
-id are one document whose links are those of all its rows. Rows without an id are returned with a null component.
+id are one document whose links are those of all its rows. Rows without an id are returned with a null component. Nothing is
+broadcast but the classes with the most copies, at most four for each shuffle partition.
 """
 
 from __future__ import annotations
@@ -22,10 +22,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
-import zlib
 from bisect import bisect_left
-from collections.abc import Callable, Iterator
-from functools import partial
+from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -34,14 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, slices, small_batches, stored
+from .common import components, forest, runs, slices, small_batches, stored
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
-#: Counters of the sketch, a byte each, and the chunks in which it is added up.
-SKETCH_BITS, CHUNKS = 24, 64
-#: Steps of the scale of sizes in a doubling.
-LEVELS = 256
+_ALL = (1 << 64) - 1
+#: Shingles that make a part of a set a signature by itself.
+STRONG = 2
 #: Postings that a task gathers before it sends them.
 FLUSH = 500_000
 #: A block of a family holds so many documents and so many shingles, or one document.
@@ -55,10 +53,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Shingle sets as sorted arrays of hashes; words' hashes are cached up to a bound."""
+    """Shingle sets as sorted arrays of hashes; words' hashes are cached in ``room`` bytes and those of one text."""
 
-    def __init__(self, words: int, cache: int = 200_000):
-        self.k, self.most, self.known = words, cache, {}
+    def __init__(self, words: int, room: int = 32 << 20):
+        self.k, self.most, self.room, self.known = words, room, room, {}
         self.factors = mixed(np.arange(1, words + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -69,11 +67,13 @@ class Shingler:
         try:
             h = np.fromiter(map(self.known.__getitem__, parts), np.uint64, n)
         except KeyError:
-            if len(self.known) > self.most:
+            if self.room < 0:
                 self.known.clear()
+                self.room = self.most
             for w in set(parts):
                 if w not in self.known:
                     self.known[w] = xxhash.xxh3_64_intdigest(w)
+                    self.room -= 150 + len(w)
             h = np.fromiter(map(self.known.__getitem__, parts), np.uint64, n)
         k = min(self.k, n)
         total = np.full(n - k + 1, k, np.uint64) * self.factors[-1]
@@ -110,125 +110,155 @@ class Bands:
         return self.told[b]
 
 
-def bucket(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def signatures(sets: list[np.ndarray], bands: Bands, strong: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which set, key) of every signature of the sets; sets that link share one or are equal.
 
-
-def prefix(tokens: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The rarest shingles of a set, as many as a linked set cannot all lack."""
-    size = len(tokens)
-    first = np.lexsort((tokens, counts[bucket(tokens)]))[: size - (-(-num * size // den)) + 1]
-    return mixed(tokens[first])
-
-
-#: Of the pieces of a part, so many are left out of a signature: a part of a linked pair differs in no more of them.
-PIECES, LEFT_OUT = 6, 2
-_KEPT = [c for k in range(LEFT_OUT + 1) for c in combinations(range(PIECES), PIECES - k)]
-
-
-def fine_signatures(tokens: np.ndarray, bands: Bands) -> np.ndarray:
-    """Keys that each stand for a piece of a set (PartEnum of Arasu, Ganti and Kaushik 2006).
-
-    The hash range has n > H / 3 parts of six pieces, so a linked pair differs in at most two shingles, hence pieces, of some
-    part; a key stands for a part and a choice of pieces, as many left out as the pair may differ in.
+    In a band where linked sets differ in H shingles at most, the range of hashes has H + 1 parts, dealt around a ring. Of the
+    differences, fewer than l lie in the first l parts that follow some start, for every l (the pigeonring of Qin and Xiao
+    2018). So the pair agrees on the part at that start, and a part of ``strong`` shingles or more is a signature by itself. A
+    smaller part goes together with the next one, of which one shingle may be left out, and if that is still too small with
+    the one after that, of which as many may be left out as then differ at most; and so on.
     """
-    out = []
-    own = mixed(tokens + np.uint64(0x7654321))
-    for b in bands.of(len(tokens)):
-        differ = bands.differ(b)
-        if not differ:
+    which, keys = [], []
+    sizes = np.array([len(x) for x in sets], np.int64)
+    own_bands = [bands.of(int(n)) if n else [] for n in sizes]
+    for turn in range(2):
+        picked = [i for i, x in enumerate(own_bands) if len(x) > turn and bands.differ(x[turn])]
+        if not picked:
             continue
-        parts = differ // (LEFT_OUT + 1) + 1
-        least = differ // parts
-        masks = np.array([[i in c for i in range(PIECES)] for c in _KEPT if len(c) == PIECES - least], np.uint64)
-        at = (((tokens >> np.uint64(32)) * np.uint64(parts * PIECES)) >> np.uint64(32)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        cells = np.zeros(parts * PIECES, np.uint64)
-        cells[at[first]] = np.add.reduceat(own, first)
-        sums = cells.reshape(parts, PIECES) @ masks.T
-        name = (np.arange(sums.size, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(b)
-        out.append(mixed(sums.ravel() ^ mixed(name)))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
-
-
-def levels(sizes: np.ndarray) -> np.ndarray:
-    """Sizes on a fine logarithmic scale."""
-    return (np.log2(np.maximum(sizes, 1)) * LEVELS).astype(np.uint16)
-
-
-def _edges(keys: np.ndarray, level: np.ndarray, docs: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order by key, level and document, and the distinct pairs of neighbours in it of one key and of sizes that can link."""
-    order = np.lexsort((docs, level, keys))
-    k, v, d = keys[order], level[order].astype(np.int64), docs[order]
-    met = np.flatnonzero((k[1:] == k[:-1]) & (v[1:] - v[:-1] <= near) & (d[1:] != d[:-1]))
-    pairs = np.stack([np.minimum(d[met], d[met + 1]), np.maximum(d[met], d[met + 1])], 1)
-    return order, np.unique(pairs, axis=0) if len(pairs) else pairs
-
-
-def family_edges(rows: DataFrame, reader: Callable[[], Callable[[object], np.ndarray]], signer: Callable[[], Callable[[np.ndarray], np.ndarray]], num: int, den: int) -> DataFrame:
-    """``(a, b)``: edges that connect the documents of each family.
-
-    ``rows``: an id and what a function that ``reader`` makes turns into a set; one that ``signer`` makes gives a set's keys.
-    Of documents that share a key, those next to each other in size are joined if their sizes can link; a task only sends the
-    smallest and largest of those whose sizes can all link with each other, as whoever can link with one can with either.
-    """
-    near = math.ceil(math.log2(den / num) * LEVELS) + 1
-    parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def send(keys: list[np.ndarray], owner: list[tuple[int, int]]) -> pa.RecordBatch:
-        sizes = [len(x) for x in keys]
-        key, doc = np.concatenate(keys), np.repeat(np.array([d for d, _ in owner], np.int64), sizes)
-        level = np.repeat(levels(np.array([n for _, n in owner])), sizes)
-        order, pairs = _edges(key, level, doc, near)
-        key, level, doc = key[order], level[order], doc[order]
-        cell = level // near
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])))
-        ends = new | np.append(new[1:], True)
-        link = mixed(mixed(pairs[:, 0].astype(np.uint64)) ^ pairs[:, 1].astype(np.uint64) * np.uint64(31))
-        key, doc = np.concatenate([key[ends], link, link]), np.concatenate([doc[ends], pairs[:, 0], pairs[:, 1]])
-        level = np.concatenate([level[ends], np.zeros(2 * len(link), np.uint16)])
-        part = ((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        order = np.lexsort((doc, part))
-        key, doc, level, part = key[order].astype(np.uint32), doc[order], level[order], part[order]
-        at = np.searchsorted(part, np.arange(parts + 1))
-        rows = [i for i in range(parts) if at[i] < at[i + 1]]
-        cut = [slice(at[i], at[i + 1]) for i in rows]
-        gaps = [np.diff(doc[c], prepend=0) for c in cut]
-        gaps = [g.astype(np.int32) if -(2**31) <= g.min() and g.max() < 2**31 else g for g in gaps]
-        columns = [[key[c].tobytes() for c in cut], [g.tobytes() for g in gaps], [level[c].tobytes() for c in cut]]
-        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *(pa.array(x, pa.binary()) for x in columns)], names=["part", "keys", "gaps", "levels"])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, sign, seen, keys, owner, held = reader(), signer(), set(), [], [], 0
-        for batch in slices(batches, 1):
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens = read(value)
-                if doc is None or not len(tokens) or (same := set_key(tokens)) in seen:
-                    continue  # equal sets are linked by their class
-                seen.add(same)
-                if len(got := sign(tokens)):
-                    keys.append(got)
-                    owner.append((doc, len(tokens)))
-                    held += len(got)
-                if held >= FLUSH:
-                    yield send(keys, owner)
-                    keys, owner, held = [], [], 0
-                    if len(seen) > 200_000:
-                        seen.clear()
-        if keys:
-            yield send(keys, owner)
-
-    def meet(table: pa.Table) -> pa.Table:
-        key, doc = [], []
-        for k, g in zip(table.column("keys").to_pylist(), table.column("gaps").to_pylist(), strict=True):
-            key.append(np.frombuffer(k, np.uint32))
-            doc.append(np.cumsum(np.frombuffer(g, np.int32 if len(g) == len(k) else np.int64), dtype=np.int64))
-        level = np.frombuffer(b"".join(table.column("levels").to_pylist()), np.uint16)
-        _, pairs = _edges(np.concatenate(key), level, np.concatenate(doc), near)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    posted = rows.mapInArrow(work, "part int, keys binary, gaps binary, levels binary")
-    return posted.groupBy("part").applyInArrow(meet, "a long, b long").distinct()
+        tokens = np.concatenate([sets[i] for i in picked])
+        n = sizes[picked]
+        band = np.array([own_bands[i][turn] for i in picked], np.uint64)
+        parts = np.array([bands.differ(own_bands[i][turn]) + 1 for i in picked], np.int64)
+        base = np.cumsum(parts) - parts  # each set's first part among those of all sets
+        owner = np.repeat(np.arange(len(picked)), n)
+        at = base[owner] + (((tokens >> np.uint64(32)) * parts[owner].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+        own = mixed(tokens + np.uint64(0x7654321))
+        count = np.bincount(at, minlength=int(parts.sum()))
+        first = np.cumsum(count) - count
+        sums = np.zeros(len(count), np.uint64)
+        full = np.flatnonzero(count)
+        sums[full] = np.add.reduceat(own, first[full])
+        of_part = np.repeat(np.arange(len(picked)), parts)
+        ring = np.arange(len(count)) - base[of_part]
+        name = mixed((ring.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + band[of_part])
+        big = np.flatnonzero(count >= strong)
+        found_at, found = [big], [mixed(sums[big] ^ name[big])]
+        weak = np.flatnonzero(count < strong)
+        after = base[of_part[weak]] + (ring[weak] + 1) % parts[of_part[weak]]
+        # the next part whole, or without one of its shingles
+        choices = 1 + count[after]
+        start, follow = np.repeat(weak, choices), np.repeat(after, choices)
+        nth = np.arange(len(start)) - np.repeat(np.cumsum(choices) - choices, choices) - 1
+        left = np.zeros(len(start), np.uint64)
+        out = nth >= 0
+        left[out] = own[first[follow[out]] + nth[out]]
+        total, held = sums[start] + sums[follow] - left, count[start] + count[follow] - out
+        done = (held >= strong) | (parts[of_part[start]] == 2)
+        step = np.uint64(0x632BE59BD9B4E019)
+        found_at.append(start[done])
+        found.append(mixed(total[done] ^ mixed(name[start[done]] + step)))
+        for s, x, h, gone in zip(start[~done].tolist(), total[~done].tolist(), held[~done].tolist(), out[~done].tolist(), strict=True):
+            far, from_, n_parts = [], int(base[of_part[s]]), int(parts[of_part[s]])
+            open_ = [(2, x, h, int(gone))]
+            while open_:
+                length, x, h, gone = open_.pop()
+                p = from_ + (s - from_ + length) % n_parts
+                mine = own[first[p] : first[p] + count[p]].tolist()
+                for k in range(min(length - gone, len(mine)) + 1):
+                    for less in combinations(mine, k):
+                        y, m = (x + int(sums[p]) - sum(less)) & _ALL, h + len(mine) - k
+                        if m >= strong or length + 1 == n_parts:
+                            far.append((y ^ int(mixed(name[s : s + 1] + np.full(1, length, np.uint64) * step)[0])) & _ALL)
+                        else:
+                            open_.append((length + 1, y, m, gone + k))
+            found_at.append(np.full(len(far), s))
+            found.append(mixed(np.array(far, np.uint64)))
+        which.append(np.array(picked, np.int64)[of_part[np.concatenate(found_at)]])
+        keys.append(np.concatenate(found))
+    if not keys:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    return np.concatenate(which), np.concatenate(keys)
+
+
+def postings(docs: np.ndarray, keys: np.ndarray, parts: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(part, keys, documents) to send for signatures ``keys`` of ``docs``: documents that share one here become an edge
+    (a negative part: pairs of documents), and one of them stands for them elsewhere."""
+    order = np.lexsort((docs, keys))
+    keys, docs = keys[order], docs[order]
+    new = np.concatenate(([True], keys[1:] != keys[:-1]))
+    met = np.flatnonzero(~new)
+    u, v = forest(docs[met], docs[met - 1])
+    if len(u):
+        yield -1 - int(v[0]) % parts, u.tobytes(), v.tobytes()
+    keys, docs = keys[new], docs[new]
+    part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # grows with the key
+    by_doc = np.lexsort((docs, part))
+    keys, docs, part = keys[by_doc], docs[by_doc], part[by_doc]
+    ends = np.searchsorted(part, np.arange(parts + 1))
+    for i in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
+        own = slice(ends[i], ends[i + 1])
+        gaps = np.diff(docs[own], prepend=0)
+        kind = next(t for t in (np.uint16, np.int32, np.int64) if np.iinfo(t).min <= gaps.min() and gaps[1:].max(initial=0) <= np.iinfo(t).max)
+        lead = docs[own][:1].tobytes()
+        yield i, keys[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), lead + gaps[1:].astype(kind).tobytes()
+
+
+def met_in_part(keys: list[bytes], docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The edges of documents that share a key, from what ``postings`` has sent to a part."""
+    sent = np.concatenate([np.frombuffer(k, np.uint8).reshape(-1, 6) for k in keys])
+    key = np.zeros((len(sent), 8), np.uint8)
+    key[:, :6] = sent
+    key = key.view("<u8").ravel()
+    doc = []
+    for k, d in zip(keys, docs, strict=True):
+        n, size = len(k) // 6, len(d) - 8
+        kind = {0: np.int64, 2 * (n - 1): np.uint16, 4 * (n - 1): np.int32}.get(size, np.int64)
+        doc.append(np.cumsum(np.concatenate((np.frombuffer(d[:8], np.int64), np.frombuffer(d[8:], kind).astype(np.int64)))))
+    doc = np.concatenate(doc)
+    order = np.argsort(key, kind="stable")
+    key, doc = key[order], doc[order]
+    met = np.flatnonzero(key[1:] == key[:-1])
+    return forest(doc[met], doc[met + 1])
+
+
+class Poster:
+    """Gathers signatures of sets and gives them away as ``postings`` when there are many."""
+
+    def __init__(self, parts: int, bands: Bands, strong: int):
+        self.parts, self.bands, self.strong = parts, bands, strong
+        self.docs: list[np.ndarray] = []
+        self.keys: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, docs: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, bytes, bytes]]:
+        which, keys = signatures(sets, self.bands, self.strong)
+        self.docs.append(np.array(docs, np.int64)[which])
+        self.keys.append(keys)
+        self.held += len(keys)
+        if self.held >= FLUSH:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[tuple[int, bytes, bytes]]:
+        if self.held:
+            yield from postings(np.concatenate(self.docs), np.concatenate(self.keys), self.parts)
+        self.docs, self.keys, self.held = [], [], 0
+
+
+def family_edges(posted: DataFrame) -> DataFrame:
+    """``(a, b)``: edges that connect the documents of each family, from rows ``(part, keys, docs)`` of ``postings``."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, 1):
+            part, keys, docs = (table.column(i).to_pylist() for i in range(3))
+            if part[0] < 0:
+                a, b = (np.frombuffer(b"".join(x), np.int64) for x in (keys, docs))
+            else:
+                a, b = met_in_part(keys, docs)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    dealt = posted.select("part", "keys", "docs").repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(meet, "a long, b long")
 
 
 class _Index:
@@ -342,128 +372,188 @@ def t_occurrence_links(ids: list[int], sets: list[np.ndarray], num: int, den: in
     return out
 
 
-def class_rows(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """``(id, n_shingles, hi, lo, chunk, counts)``: for every row the size and the 128-bit key of its shingle set, and from every
-    task the chunks of its sketch: how often, up to 255, it has met each bucket of shingles in distinct sets."""
+def class_rows(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """``(id, n_shingles, hi, lo, posted)``: for every row the size and the 128-bit key of its shingle set; and the rows
+    ``(part, keys, docs)`` of ``postings``. Of rows with equal sets a task posts one, marked ``posted``."""
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = ["id", "n_shingles", "hi", "lo", "posted", "part", "keys", "docs"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary()]
+
+    def sent(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        none = [pa.nulls(len(rows), k) for k in kinds[:5]]
+        return pa.RecordBatch.from_arrays([*none, *(pa.array([r[i] for r in rows], kinds[5 + i]) for i in range(3))], names=names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, seen, sketch = Shingler(words), set(), np.zeros(1 << SKETCH_BITS, np.uint8)
+        shingle, seen, poster = Shingler(words), set(), Poster(parts, Bands(num, den), STRONG)
         for batch in slices(batches, 1):
-            sets = [shingle(t) for t in batch.column(1).to_pylist()]
+            ids, sets = batch.column(0).to_pylist(), [shingle(t) for t in batch.column(1).to_pylist()]
             keys = [set_key(x) for x in sets]
             fresh = []
-            for key, tokens in zip(keys, sets, strict=True):
-                if key not in seen:
+            for i, key in enumerate(keys):
+                if key not in seen and len(sets[i]) and ids[i] is not None:
                     seen.add(key)
-                    fresh.append(tokens)
+                    fresh.append(i)
             if len(seen) > 200_000:
                 seen.clear()
-            at, n = np.unique(bucket(np.concatenate(fresh)) if fresh else np.empty(0, np.int64), return_counts=True)
-            sketch[at] = np.minimum(255, sketch[at] + n)
-            none = pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), *none],
-                names=["id", "n_shingles", "hi", "lo", "chunk", "counts"],
-            )
-        parts = [(i, c) for i, c in enumerate(np.split(sketch, CHUNKS)) if c.any()]
-        none = [pa.nulls(len(parts), pa.int64()) for _ in range(4)]
-        packed = pa.array([zlib.compress(c.tobytes(), 1) for _, c in parts], pa.binary())
-        yield pa.RecordBatch.from_arrays([*none, pa.array([i for i, _ in parts], pa.int32()), packed], names=["id", "n_shingles", "hi", "lo", "chunk", "counts"])
+            mark = np.zeros(len(ids), bool)
+            mark[fresh] = True
+            own = [batch.column(0), *(pa.array(x, pa.int64()) for x in ([len(x) for x in sets], [k[0] for k in keys], [k[1] for k in keys])), pa.array(mark)]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(len(ids), k) for k in kinds[5:])], names=names)
+            if rows := list(poster.add([ids[i] for i in fresh], [sets[i] for i in fresh])):
+                yield sent(rows)
+        if rows := list(poster.flush()):
+            yield sent(rows)
 
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(work, "id long, n_shingles long, hi long, lo long, chunk int, counts binary")
+    return rows.mapInArrow(work, "id long, n_shingles long, hi long, lo long, posted boolean, part int, keys binary, docs binary")
+
 
+def linker(num: int, den: int):
+    """For ``mapInArrow`` over rows ``(<group columns>, root, id, tokens)`` sorted by group: the links within each group."""
 
-def merged_sketch(parts: DataFrame) -> np.ndarray:
-    """The sum of all tasks' sketches, up to 255: ``1 << SKETCH_BITS`` bytes on the driver, whatever the input's size."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, 3):
+            rows: dict[tuple, tuple] = {}
+            for row in zip(*(table.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
+                rows.setdefault(row[1:], row)  # of a set that several tasks have sent, one
+            roots, ids, sets = (list(x) for x in zip(*rows.values(), strict=True))
+            known = [r if r is not None else i for r, i in zip(roots, ids, strict=True)]
+            got = t_occurrence_links(ids, [np.frombuffer(x, np.uint64) for x in sets], num, den, known)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return work
 
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros((1 << SKETCH_BITS) // CHUNKS, np.uint16)
-        for raw in table.column("counts").to_pylist():
-            total = np.minimum(255, total + np.frombuffer(zlib.decompress(raw), np.uint8))
-        return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": [zlib.compress(total.astype(np.uint8).tobytes(), 1)]})
 
-    sketch = np.zeros((CHUNKS, (1 << SKETCH_BITS) // CHUNKS), np.uint8)
-    for chunk, raw in parts.groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect():
-        sketch[chunk] = np.frombuffer(zlib.decompress(raw), np.uint8)
-    return sketch.ravel()
+def linked(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """``(a, b)``: links among the rows ``(root, id, tokens)`` that agree in ``family, own, part``, one group at a time in a
+    task; rows of one ``root``, if any, are linked already."""
+    dealt = rows.select(*(F.col(c).cast("long") for c in ("family", "own", "part", "root")), "id", "tokens")
+    return dealt.repartition("family", "own", "part").sortWithinPartitions("family", "own", "part").mapInArrow(linker(num, den), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_shingles, component_id)`` for every row; links are pairs with Jaccard >= num / den."""
     small_batches(docs.sparkSession)
-    told = stored(class_rows(docs, words, id_col, text_col), "sets")
-    rows = told.where("chunk is null").select("id", "n_shingles", "hi", "lo")
-    sketch = docs.sparkSession.sparkContext.broadcast(merged_sketch(told.where("chunk is not null").select("chunk", "counts")))
-    classes = rows.where("n_shingles > 0 and id is not null").groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"))
-    copies = rows.where("n_shingles > 0").join(classes.where("copies > 1").select("hi", "lo", "rep"), ["hi", "lo"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    links = stored(copies.distinct(), "copies")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    by_rarity = lambda: lambda tokens: prefix(tokens, sketch.value, num, den)
-    families = components(family_edges(texts, lambda: Shingler(words), by_rarity, num, den).unionByName(links))
-    members = stored(classes.select(F.col("rep").alias("id"), "n").groupBy("id").agg(F.max("n").alias("n")).join(families, "id"), "members")
-    placed = _blocks(members.select("id", "n", F.col("component").alias("family")))
+    told = stored(class_rows(docs, words, num, den, id_col, text_col), "sets")
+    rows = told.where("n_shingles is not null").select("id", "n_shingles", "hi", "lo", "posted")
+    with_set = rows.where("n_shingles > 0 and id is not null")
+    named = [F.min("id").alias("name"), F.min(F.when(F.col("posted"), F.col("id"))).alias("rep"), F.max("n_shingles").alias("n"), F.count("*").alias("copies")]
+    classes = stored(with_set.groupBy("hi", "lo").agg(*named), "classes")
+    families = components(family_edges(told.where("part is not null")))
+    members = classes.join(families.withColumnRenamed("id", "rep"), "rep").select("rep", "name", "hi", "lo", "n", F.col("component").alias("family"))
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(words)
-        for batch in slices(batches, 1):
-            sets = pa.array([shingle(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets, *batch.columns[2:]], names=["id", "tokens", "family", "blocks", "own"])
-
-    def link(table: pa.Table) -> pa.Table:
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
-        known = table.column("root").to_pylist() if "root" in table.column_names else None
-        got = t_occurrence_links(table.column("id").to_pylist(), sets, num, den, known)
-        return pa.table({"a": pa.array([a for a, _ in got], pa.int64()), "b": pa.array([b for _, b in got], pa.int64())})
+        shingle, seen = Shingler(words), set()
+        for batch in slices(batches, 0):
+            kept, sets = [], []
+            for i, (text, name, hi, lo) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)):
+                tokens = shingle(text)
+                if (name, hi, lo) not in seen and set_key(tokens) == (hi, lo):  # rows may share an id
+                    seen.add((name, hi, lo))
+                    kept.append(i)
+                    sets.append(tokens.tobytes())
+            if len(seen) > 200_000:
+                seen.clear()
+            own = batch.select([1, 4, 5, 6]).take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(sets, pa.binary())], names=["id", "family", "blocks", "own", "tokens"])
 
     # the merge hint keeps one plan at every size
-    met = texts.join(placed.hint("merge"), "id").select("id", "text", "family", "blocks", "own")
-    held = stored(met.mapInArrow(work, "id long, tokens binary, family long, blocks int, own int"), "family-sets")
-    found = links.unionByName(held.where("blocks = 1").select("id", "tokens", "family").groupBy("family").applyInArrow(link, "a long, b long"))
+    met = texts.join(_blocks(members).hint("merge"), "rep").select("text", "name", "hi", "lo", "family", "blocks", "own")
+    held = stored(met.mapInArrow(work, "id long, family long, blocks int, own int, tokens binary"), "family-sets")
+    groups, found = _groups(held), []
     large = held.where("blocks > 1").select("id", "tokens")
     if not large.isEmpty():
-        in_pieces = lambda: partial(fine_signatures, bands=Bands(num, den))
-        parts = components(family_edges(large, lambda: lambda raw: np.frombuffer(raw, np.uint64), in_pieces, num, den))
-        sized = large.select("id", (F.octet_length("tokens") / 8).cast("long").alias("n")).groupBy("id").agg(F.max("n").alias("n"))
-        split = stored(_blocks(sized.join(parts, "id").select("id", "n", F.col("component").alias("family"))), "families")
-        again = stored(large.join(split, "id"), "family-sets")
-        alone = stored(again.select("id", "tokens", "family", "own").groupBy("family", "own").applyInArrow(link, "a long, b long"), "links")
-        found = found.unionByName(alone).unionByName(_across_blocks(again.where("blocks > 1"), alone, link))
-    joined = components(found)
-    return rows.join(joined, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+        groups, found = _large_families(groups, large, num, den)
+    pairs = _one_id(with_set, classes)
+    found += [linked(groups, num, den)] + ([] if pairs is None else [pairs])
+    joined = components(reduce(DataFrame.unionByName, found))
+    final = classes.join(joined.withColumnRenamed("id", "name"), "name", "left").select("hi", "lo", "copies", F.coalesce("component", "name").alias("component_id"))
+    out = _of_rows(rows, stored(final, "components"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id")
+
+
+def _groups(held: DataFrame, blocks: str = "blocks = 1") -> DataFrame:
+    return held.where(blocks).select("family", "own", F.lit(0).alias("part"), F.lit(None).cast("long").alias("root"), "id", "tokens")
+
+
+def _one_id(rows: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """``(a, b)``: edges between the classes of rows that share an id and not a text; none (the usual case) is null."""
+    key = F.struct("hi", "lo")
+    several = rows.groupBy("id").agg(F.min(key).alias("x"), F.max(key).alias("y")).where("x <> y").select("id", "x")
+    if several.isEmpty():
+        return None
+    pairs = rows.join(several, "id").select("hi", "lo", "x").distinct()
+    names = classes.select("hi", "lo", "name")
+    first = names.select(F.struct("hi", "lo").alias("x"), F.col("name").alias("a"))
+    return pairs.join(names, ["hi", "lo"]).join(first, "x").select("a", F.col("name").alias("b"))
+
+
+def _of_rows(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Each row with its class's component. Classes so large that one would stand out in its task (of which there are at most
+    four for each partition) are broadcast, so their rows stay where they are; all others are joined by key."""
+    parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    hot = classes.where(F.col("copies") > max(100, total // parts)).select("hi", "lo", "component_id")
+    has_set = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
+    alone = rows.where(~has_set).select("id", "n_shingles", F.col("id").alias("component_id"))
+    full = rows.where(has_set).select("id", "n_shingles", "hi", "lo")
+    here = full.join(F.broadcast(hot), ["hi", "lo"])
+    rest = full.join(F.broadcast(hot.select("hi", "lo")), ["hi", "lo"], "left_anti").join(classes.select("hi", "lo", "component_id").hint("merge"), ["hi", "lo"])
+    cols = ["id", "n_shingles", "component_id"]
+    return alone.unionByName(here.select(cols)).unionByName(rest.select(cols))
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """``(id, family, blocks, own)``: the block of each document (``id, n, family``) of families that have two or more."""
+    """Adds ``(blocks, own)`` to the members (with ``name, n, family``) of families that have two or more: their block."""
     sizes = members.groupBy("family").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).where("docs > 1")
     blocks = F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     met = members.join(sizes.select("family", blocks.alias("blocks")), "family")
-    return met.select("id", "family", "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("own"))
+    return met.withColumn("own", F.pmod(F.xxhash64("name"), "blocks").cast("int"))
 
 
-def _across_blocks(held: DataFrame, alone: DataFrame, link) -> DataFrame:
-    """Links between the blocks of large families.
+def _large_families(small: DataFrame, large: DataFrame, num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
+    """What is left to do (rows for ``linked``) with families that fit a block (``small``) and those that do not, and links
+    found on the way. The sets ``(id, tokens)`` of the latter are dealt once more by stronger signatures.
 
-    The largest component of each block goes first, through one document, so that a family of near copies becomes one
-    component at little cost. Then each document outside its family's largest component meets all blocks of its family;
-    those inside it are linked already and only meet the former.
+    Of a family that is still too large, the largest component of each block goes first, through one document, so that a
+    family of near copies becomes one component at little cost. Then each document outside its family's largest component
+    meets all blocks of its family; those inside it are linked already and only meet the former.
     """
-    roots = components(alone)
+    parts = 4 * int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        poster = Poster(parts, Bands(num, den), 2 * STRONG)
+        told = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["part", "keys", "docs"])
+        for batch in slices(batches, 1):
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            if rows := list(poster.add(batch.column(0).to_pylist(), sets)):
+                yield told(rows)
+        if rows := list(poster.flush()):
+            yield told(rows)
+
+    families = components(family_edges(large.mapInArrow(post, "part int, keys binary, docs binary")))
+    sized = large.select("id", (F.octet_length("tokens") / 8).cast("long").alias("n")).groupBy("id").agg(F.max("n").alias("n"))
+    split = _blocks(sized.join(families, "id").select(F.col("id").alias("name"), "n", F.col("component").alias("family")))
+    again = stored(large.join(split.withColumnRenamed("name", "id"), "id").select("id", "tokens", "family", "blocks", "own"), "family-sets")
+    small, held = small.unionByName(_groups(again)), again.where("blocks > 1")
+    if held.isEmpty():
+        return small, []
+    edges = lambda roots: roots.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    roots = components(linked(_groups(held, "true"), num, den))
     named = held.join(roots, "id", "left").select("id", "tokens", "family", "blocks", "own", F.coalesce("component", "id").alias("root"))
     named = stored(named, "blocks")
     largest = named.groupBy("family", "own", "root").agg(F.count("*").alias("n")).groupBy("family", "own").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("id"))
-    pivots = named.select("id", "tokens", "family", (F.col("own") / BLOCK_DOCS).cast("int").alias("chunk")).join(largest.select("family", "id"), ["family", "id"])
-    first = stored(pivots.select("id", "tokens", "family", "chunk").groupBy("family", "chunk").applyInArrow(link, "a long, b long"), "links")
-    merged = components(first)
+    pivots = named.select("id", "tokens", "family", (F.col("own") / BLOCK_DOCS).cast("int").alias("own")).join(largest.select("family", "id"), ["family", "id"])
+    merged = components(linked(_groups(pivots, "true"), num, den))
     now = named.join(merged.select(F.col("id").alias("root"), "component"), "root", "left").withColumn("root", F.coalesce("component", "root")).drop("component")
     counts = now.groupBy("family", "root").agg(F.count("*").alias("n"), F.sum(F.octet_length("tokens") / 8).alias("shingles"))
     main = counts.groupBy("family").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("main"), F.sum("n").alias("all_n"), F.sum("shingles").alias("all_shingles"), F.max(F.struct("n", -F.col("root"), "shingles")).alias("most"))
     left = main.select("family", "main", (F.col("all_n") - F.col("most.n")).alias("docs"), (F.col("all_shingles") - F.col("most.shingles")).alias("shingles")).where("docs > 0")
-    parts = F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES, F.lit(1))).cast("int")
-    rest = stored(now.join(left.select("family", "main", parts.alias("parts")), "family"), "rest")
+    pieces = F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("shingles") / BLOCK_SHINGLES, F.lit(1))).cast("int")
+    rest = stored(now.join(left.select("family", "main", pieces.alias("pieces")), "family"), "rest")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    own = rest.withColumn("part", F.explode(every("parts")))
-    visit = rest.where("root <> main").withColumn("part", F.pmod(F.xxhash64("id", "family"), "parts").cast("int")).withColumn("own", F.explode(F.filter(every("blocks"), lambda b: b != F.col("own"))))
-    cols = ["id", "tokens", "root", "family", "own", "part"]
-    second = own.select(cols).unionByName(visit.select(cols)).groupBy("family", "own", "part").applyInArrow(link, "a long, b long")
-    return first.unionByName(second)
+    own = rest.withColumn("part", F.explode(every("pieces")))
+    visit = rest.where("root <> main").withColumn("part", F.pmod(F.xxhash64("id", "family"), "pieces").cast("int")).withColumn("own", F.explode(F.filter(every("blocks"), lambda b: b != F.col("own"))))
+    cols = ["family", "own", "part", "root", "id", "tokens"]
+    return small.unionByName(own.select(cols)).unionByName(visit.select(cols)), [edges(roots), edges(merged)]

@@ -3,8 +3,8 @@ import re
 
 import numpy as np
 import pytest
-from cellmesa.llm import jaccard
-from cellmesa.llm.common import components
+from cellmesa.llm import common, jaccard
+from cellmesa.llm.common import components, forest
 
 
 def shingles(text, k):
@@ -51,8 +51,8 @@ def corpus(seed, n=60):
 @pytest.mark.parametrize(("seed", "k", "num", "den", "block"), [(1, 4, 85, 100, 1024), (2, 5, 80, 100, 2), (3, 3, 70, 100, 5), (4, 1, 50, 100, 3)])
 def test_components_equal_brute_force(spark, monkeypatch, seed, k, num, den, block):
     monkeypatch.setattr(jaccard, "BLOCK_DOCS", block)
-    if seed == 4:  # a sketch that tells nothing apart
-        monkeypatch.setattr(jaccard, "bucket", lambda tokens: np.zeros(len(tokens), np.int64))
+    if seed == 4:  # signatures that tell little apart
+        monkeypatch.setattr(jaccard, "STRONG", 1)
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, component int").repartition(3)
     got = jaccard.jaccard_components(df, k, num, den).collect()
@@ -99,6 +99,60 @@ def test_bands_hold_every_pair_that_can_link():
             assert set(bands.of(s)) & set(bands.of(t))
 
 
+@pytest.mark.parametrize("strong", [1, 2, 4, 9])
+def test_linked_sets_share_a_signature(strong):
+    rng = random.Random(strong)
+    sets = [np.empty(0, np.uint64)]
+    for _ in range(60):
+        base = {rng.getrandbits(64) for _ in range(rng.choice([1, 3, 7, 8, 14, 15, 30, 45, 90, 200]))}
+        for _ in range(8):
+            some = set(base)
+            for _ in range(rng.randrange(1 + len(base) // 5)):
+                some.discard(rng.choice(sorted(base)))
+                if rng.random() < 0.6:
+                    some.add(rng.getrandbits(64))
+            sets.append(np.array(sorted(some), np.uint64))
+    which, keys = jaccard.signatures(sets, jaccard.Bands(85, 100), strong)
+    own = [set(keys[which == i].tolist()) for i in range(len(sets))]
+    linked = 0
+    for a in range(len(sets)):
+        for b in range(a):
+            x, y = set(sets[a].tolist()), set(sets[b].tolist())
+            if x and x != y and 100 * len(x & y) >= 85 * len(x | y):
+                linked += 1
+                assert own[a] & own[b]
+    assert linked > 200
+
+
+def test_what_is_posted_comes_back():
+    rng = np.random.RandomState(0)
+    for step in (3, 300, 40_000, 10**14):
+        docs = np.cumsum(rng.randint(1, step, 400)) - 50 * step
+        keys = rng.randint(0, 2**63, 300).astype(np.uint64) * np.uint64(2) | np.uint64(1)
+        mine, own = rng.choice(docs, 900), rng.choice(keys, 900)
+        rows = [r for half in (slice(0, 400), slice(400, 900)) for r in jaccard.postings(mine[half], own[half], 8)]
+        pairs = [(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)) for p, a, b in rows if p < 0]
+        for part in range(8):
+            sent = [(a, b) for p, a, b in rows if p == part]
+            if sent:
+                pairs.append(jaccard.met_in_part(*map(list, zip(*sent, strict=True))))
+        got = dict(zip(*(x.tolist() for x in forest(np.concatenate([a for a, _ in pairs]), np.concatenate([b for _, b in pairs]))), strict=True))
+        first = {}
+        want = forest(mine, np.array([first.setdefault(k, d) for k, d in zip(own.tolist(), mine.tolist(), strict=True)]))
+        assert got == dict(zip(*(x.tolist() for x in want), strict=True))
+
+
+def test_forest_and_large_edge_tables(spark, monkeypatch):
+    rng = np.random.RandomState(1)
+    a, b = rng.randint(0, 3000, 2500), rng.randint(0, 3000, 2500)
+    u, v = forest(a, b)
+    want = dict(zip(u.tolist(), v.tolist(), strict=True))
+    assert all(want.get(x, x) == want.get(y, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)) and all(x not in want for x in v.tolist())
+    monkeypatch.setattr(common, "EDGES_AT_ONCE", 100)  # more than one task may hold
+    got = components(spark.createDataFrame(list(zip(a.tolist(), b.tolist(), strict=True)), "a long, b long").repartition(5))
+    assert {r.id: r.component for r in got.collect() if r.id != r.component} == want
+
+
 def test_components_of_long_chains(spark):
     chain = [(i, i + 1) for i in range(100, 140)] + [(7, 7), (None, 3), (5, 6)]
     got = {r.id: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
