@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -98,6 +99,57 @@ def test_mix_comes_near_its_targets(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_equal_rows_are_taken_one_by_one(spark, monkeypatch, repeated):
+    monkeypatch.setattr(mixing, "RUN", 100)  # equal rows are written out in runs
+    rows = [(7 if repeated else None, "a b c d e", s) for s in ("x", "y", "z") for _ in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(df).collect()
+    assert len(got) == 3000 and all(0 <= r.taken <= 3 * r.size for r in got)
+    assert sorted((t, sum(r.taken for r in got if r.target == t)) for t in {r.target for r in got}) == [(2500.0, 2500), (5000.0, 5000), (7500.0, 7500)]
+    mixed = mixing.mixed_documents(df)
+    assert mixed.columns == df.columns and Counter(r.source for r in mixed.collect()) == {"x": 500, "y": 1000, "z": 1500}
+
+
+def test_overlapping_sources(spark):
+    """Every quota that the documents can fill is filled, and as evenly as they allow."""
+    rng = random.Random(2)
+    rows = [(i, sorted(rng.sample("abc", rng.choice([1, 1, 2, 3]))) + ["a"] * (i % 50 == 0), rng.randrange(1, 20)) for i in range(2000)]
+    rows += [(-1, None, 5), (-2, [], 5), (-3, ["c"], 0), (-4, ["b", None], 9)]
+    got = mixing.mix_overlapping(spark.createDataFrame(rows, "id long, sources array<string>, size long")).collect()
+    assert len(got) == len(rows) and all(0 <= r.copies <= 3 for r in got)
+    assert {r.id: r.copies for r in got if r.id in (-1, -2, -3)} == {-1: 0, -2: 0, -3: 0}
+    patterns, taken = {}, {}
+    for r in got:
+        key = tuple(r.sources)
+        patterns[key] = patterns.get(key, 0) + r.size
+        taken[key] = taken.get(key, 0) + r.size * r.copies
+    names = ["a", "b", "c", None]
+    sizes = [sum(n for p, n in patterns.items() if s in p) for s in names]
+    quotas = [round(x) for x in mixing.targets(sizes, [1, 2, 3, 1], sum(patterns.values()))]
+    order = sorted(patterns, key=lambda p: [(s is None, s or "") for s in p])
+    flow = mixing.min_cost_flow({p: patterns[p] for p in order}, {p: [names.index(s) for s in p] for p in order}, quotas)
+    assert all(abs(taken[p] - flow[p]) <= 10 for p in patterns)
+    assert sum(flow.values()) == sum(quotas)
+
+
+def test_flow_costs_no_more_than_any_other(spark):
+    rng = random.Random(4)
+    for _ in range(30):
+        patterns = {p: rng.randrange(0, 5) for p in [(0,), (1,), (0, 1)]}
+        quotas = [rng.randrange(0, 8), rng.randrange(0, 8)]
+        flow = mixing.min_cost_flow(patterns, {p: list(p) for p in patterns}, quotas)
+        cost = lambda used, n: sum(k // n + 1 for k in range(used)) if n else 0
+        best = None
+        for a in range(3 * patterns[(0,)] + 1):
+            for b in range(3 * patterns[(1,)] + 1):
+                for c in range(3 * patterns[(0, 1)] + 1):
+                    if a <= quotas[0] and b <= quotas[1] and a + b + c <= sum(quotas):
+                        found = (-(a + b + c), cost(a, patterns[(0,)]) + cost(b, patterns[(1,)]) + cost(c, patterns[(0, 1)]))
+                        best = found if best is None else min(best, found)
+        assert (-sum(flow.values()), sum(cost(flow[p], patterns[p]) for p in patterns)) == best
+
+
 def test_mixed_documents_are_the_rows_as_often_as_taken(spark):
     df = spark.createDataFrame(rows_of(), "doc_id long, text string, source string")
     taken = sum(r.taken for r in mixing.mix(df).collect())
