@@ -21,7 +21,7 @@ def vocabulary(name: str) -> str:
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(_table(spark, sf_dir, "pages"))
+    return urls.judge(urls.labelled_pages(_table(spark, sf_dir, "pages")), bad_col="bad")
 
 
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

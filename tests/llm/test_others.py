@@ -2,6 +2,7 @@ import base64
 import hashlib
 import io
 import random
+import re
 import zlib
 
 import numpy as np
@@ -155,11 +156,143 @@ def test_labels_reject_templates(spark):
     assert got[1].template == "/spam/*/x" and got[79].verdict == "block" and got[78].verdict == "allow"
 
 
-def test_similar_siblings_are_merged(spark):
-    rows = [("h", ["a", "x"], 10, 0, 10, 0), ("h", ["b", "x"], 10, 1, 10, 0), ("h", ["a"], 10, 0, 10, 1), ("h", ["b"], 10, 1, 10, 1), ("h", ["c"], 10, 10, 10, 1), ("h", ["d"], 10, 0, 10, 1), ("h", ["e"], 10, 0, 10, 1)]
-    nodes = spark.createDataFrame(rows, "host string, template array<string>, n long, bad long, labelled long, depth int")
-    got = {tuple(r.template): tuple(r.branch) for r in urls.merged_branches(nodes).collect()}
-    assert got[("a",)] == got[("b",)] == got[("d",)] and got[("c",)] == ("c",) and got[("a", "x")] == ("a", "x")
+def test_only_siblings_with_like_labels_are_merged(spark):
+    """Branches of a few bad urls each are rejected together; unlabelled and clean ones are left alone."""
+    pages, bad = [], {}
+
+    def add(path, label=None):
+        pages.append((len(pages), f"http://s.net{path}"))
+        if label is not None:
+            bad[len(pages) - 1] = label
+
+    for name in ("pills", "casino", "bets"):
+        for k in range(3):
+            add(f"/{name}/{name}-{k}", 1)
+    for name in ("news", "sport"):
+        for k in range(30):
+            add(f"/{name}/{name}-{k}", 0)
+    for k in range(30):
+        add(f"/new/new-{k}")
+    labels = spark.createDataFrame(list(bad.items()), "id long, bad int")
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string"), labels, rules=()).collect()}
+    told = {u.split("/")[3]: got[i] for i, u in pages}
+    assert {k: r.verdict for k, r in told.items()} == {"pills": "block", "casino": "block", "bets": "block", "news": "allow", "sport": "allow", "new": "allow"}
+    assert told["pills"].template == told["bets"].template != told["news"].template == told["sport"].template
+    assert told["pills"].support == 9 and told["new"].support == 0 and told["new"].template == "/new/*"
+
+
+def test_rules_say_nothing_about_siblings(spark):
+    rows = [(i, f"http://a.com/{'de' if i % 2 else 'es'}/x/p{i}") for i in range(80)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert {(r.path[:4], r.verdict) for r in got} == {("/de/", "block"), ("/es/", "allow")}
+    assert all(r.purity < 0.1 for r in got)
+    # and with the labels of the blocked ones, the others still have none of their own
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 80, 2)], "id long, bad int")
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), labels, rules=()).collect()
+    assert {(r.path[:4], r.verdict, r.support) for r in got} == {("/de/", "block", 40), ("/es/", "allow", 0)}
+
+
+def test_templates_equal_brute_force(spark):
+    """Wildcards, branches, purities and verdicts of random hosts, against the same rules applied to lists."""
+    rng = random.Random(5)
+    words = ["en", "de", "shop", "tag", "a-b"]
+    pages = []
+    for i in range(900):
+        host = rng.choice(["x.net", "x.net", "y.net", "z.net"])
+        depth = rng.choice([0, 1, 2, 2, 3, 10])
+        path = "".join("/" + rng.choice([rng.choice(words), str(rng.randrange(400)), f"{rng.choice(words)}{rng.randrange(3)}.html"]) for _ in range(depth))
+        pages.append((i, f"http://{host}{path}{rng.choice(['', '/', '?q'])}", rng.choice([None, 0, 0, 1]) if "shop" not in path else rng.choice([1, 1, 1, None, 0])))
+    df = spark.createDataFrame(pages, "page_id long, url string, bad int").repartition(3)
+    got = {r.page_id: r for r in urls.judge(df, rules=(), bad_col="bad").collect()}
+    want = tree(pages)
+    assert {i: (r.template, r.verdict, r.support) for i, r in got.items()} == {i: x[:3] for i, x in want.items()}
+    assert all(abs(r.purity - want[i][3]) < 1e-6 for i, r in got.items())
+    assert len({x[1] for x in want.values()}) == 2
+
+
+def tree(pages, threshold=0.5, strength=8.0, least=5, fanout=12, z=1.96):
+    paths = {}
+    for _, url, bad in pages:
+        key = tuple(re.match(r"http://([^/?]*)([^?]*)", url).groups())
+        n = paths.setdefault(key, [0, 0])
+        n[0] += bad or 0
+        n[1] += bad is not None
+    shape = lambda rest: re.sub(r"[^\W\d]+", "a", re.sub(r"\d+", "9", "/".join(rest)))
+    seg = {}
+    for k in paths:
+        parts = re.sub("/$", "", re.sub("^/", "", k[1])).split("/")
+        seg[k] = parts if len(parts) <= urls.LEVELS else [*parts[: urls.LEVELS - 1], "/".join(parts[urls.LEVELS - 1 :])]
+    template = {k: () for k in paths}
+    for level in range(urls.LEVELS):
+        nodes = {}
+        for k, own in paths.items():
+            if len(seg[k]) > level:
+                node = nodes.setdefault((k[0], template[k]), {}).setdefault(seg[k][level], {"n": 0, "bad": 0, "labelled": 0, "shapes": {}})
+                node["n"] += 1
+                node["bad"] += own[0]
+                node["labelled"] += own[1]
+                s = shape(seg[k][level + 1 :])
+                node["shapes"][s] = node["shapes"].get(s, 0) + 1
+        names = {}
+        for parent, children in nodes.items():
+            total = sum(c["n"] for c in children.values())
+            singles = sum(c["n"] == 1 for c in children.values())
+            kin = {}
+            for name, c in children.items():
+                c["kin"] = (max((n, s) for s, n in c["shapes"].items())[1], 2 * c["bad"] > c["labelled"])
+                if singles > 1 and c["n"] == 1 or len(children) > fanout and c["n"] * fanout < total:
+                    names[(*parent, name)] = "*"
+                else:
+                    names[(*parent, name)] = name
+                    if c["labelled"]:
+                        kin.setdefault(c["kin"], []).append(name)
+            for (s, mostly), group in kin.items():
+                bad, labelled = (sum(children[x][c] for x in group) for c in ("bad", "labelled"))
+                for x in group:
+                    c = children[x]
+                    if len(group) > 1:
+                        share = (bad + 0.5) / (labelled + 1)
+                        error = (share * (1 - share) * (1 / c["labelled"] + 1 / (labelled - c["labelled"]))) ** 0.5
+                        if abs(c["bad"] / c["labelled"] - (bad - c["bad"]) / (labelled - c["labelled"])) <= z * error:
+                            names[(*parent, x)] = "{" + "bad " * mostly + f"like {s}" + "}"
+        for k in paths:
+            if len(seg[k]) > level:
+                template[k] += (names[(k[0], template[k], seg[k][level])],)
+    counts = {}
+    for k, own in paths.items():
+        for n in range(len(template[k]) + 1):
+            c = counts.setdefault((k[0], template[k][:n]), [0, 0])
+            c[0] += own[0]
+            c[1] += own[1]
+    base = (sum(x for x, _ in paths.values()) + 0.1) / (sum(x for _, x in paths.values()) + 2)
+    out = {}
+    for i, url, _ in pages:
+        k = tuple(re.match(r"http://([^/?]*)([^?]*)", url).groups())
+        purity, ruling, support = base, None, 0
+        for n in range(len(template[k]) + 1):
+            bad, labelled = counts[(k[0], template[k][:n])]
+            purity = (bad + strength * purity) / (labelled + strength)
+            if n and labelled >= least:
+                ruling, support = purity, labelled
+            elif ruling is None:
+                support = labelled
+        blocked = ruling is not None and ruling >= threshold
+        out[i] = ("/" + "/".join(template[k]), "block" if blocked else "allow", support, ruling if ruling is not None else purity)
+    return out
+
+
+def test_odd_paths(spark):
+    """Long paths, deep paths, pages without labels or texts, rules of equal length, clashing columns."""
+    rows = [(1, "http://h.net/" + "a/" * 5000, None, 1), (2, "http://h.net/" + "b" * 200_000, "", 1), (3, "http://h.net", "<p>" + "word " * 30 + "</p>", 1), (3, "http://h.net", "<p>" + "word " * 30 + "</p>", 1), (None, None, None, 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, template int")
+    pages = urls.labelled_pages(df)
+    assert sorted((r.page_id or 0, r.bad) for r in pages.collect()) == [(0, 1), (1, 1), (2, 1), (3, 1), (3, 1)]
+    got = urls.judge(pages, bad_col="bad").collect()
+    assert len(got) == 5 and {r.verdict for r in got} == {"allow"}
+    assert urls.labelled_pages(df.limit(0)).count() == 0
+    same = (("allow", "a.net", "/x"), ("block", "net", "/xyz"))  # as long, so the first given counts
+    page = spark.createDataFrame([(1, "http://a.net/xyz")], "page_id long, url string")
+    assert [urls.judge(page, rules=r).first().verdict for r in (same, same[::-1])] == ["allow", "block"]
 
 
 # --- licences
