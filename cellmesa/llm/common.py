@@ -29,7 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", uuid.uuid4().hex)
         spark.conf.set("spark.cellmesa.shared.dir", found)
-    return found.rstrip("/")
+    at = spark._jvm.org.apache.hadoop.fs.Path(found)
+    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return re.sub("^file:/(?!/)", "file:///", whole).rstrip("/")
 
 
 def _own_dir(spark: SparkSession) -> str:
@@ -86,6 +88,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20)
             yield batch.slice(start)
 
 
+def joined_by_class(rows: DataFrame, classes: DataFrame, on: list[str], copies: str) -> DataFrame:
+    """``rows`` with the columns of their class, from a stored table with one row and the number of rows for each.
+
+    Classes so large that one would stand out in its task, of which there are at most four for each shuffle partition, are
+    broadcast, so their rows stay where they are; all others are joined by key.
+    """
+    parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = classes.agg(F.sum(copies)).first()[0] or 0
+    hot = classes.where(F.col(copies) > max(100, total // parts))
+    here = rows.join(F.broadcast(hot), on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(classes.hint("merge"), on)
+    return here.unionByName(rest)
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """The runs of rows that agree in the first ``keys`` columns, in the order of sorted batches; one run is held at a time."""
     held, now = [], None

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forest, runs, slices, small_batches, stored
+from .common import components, forest, joined_by_class, runs, slices, small_batches, stored
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
@@ -469,7 +469,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     found += [linked(groups, num, den)] + ([] if pairs is None else [pairs])
     joined = components(reduce(DataFrame.unionByName, found))
     final = classes.join(joined.withColumnRenamed("id", "name"), "name", "left").select("hi", "lo", "copies", F.coalesce("component", "name").alias("component_id"))
-    out = _of_rows(rows, stored(final, "components"))
+    known = joined_by_class(with_set.select("id", "n_shingles", "hi", "lo"), stored(final, "components"), ["hi", "lo"], "copies")
+    alone = rows.where("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("component_id"))
+    out = known.select("id", "n_shingles", "component_id").unionByName(alone)
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id")
 
 
@@ -489,21 +491,6 @@ def _one_id(rows: DataFrame, classes: DataFrame) -> DataFrame | None:
     return pairs.join(names, ["hi", "lo"]).join(first, "x").select("a", F.col("name").alias("b"))
 
 
-def _of_rows(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Each row with its class's component. Classes so large that one would stand out in its task (of which there are at most
-    four for each partition) are broadcast, so their rows stay where they are; all others are joined by key."""
-    parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total = classes.agg(F.sum("copies")).first()[0] or 0
-    hot = classes.where(F.col("copies") > max(100, total // parts)).select("hi", "lo", "component_id")
-    has_set = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
-    alone = rows.where(~has_set).select("id", "n_shingles", F.col("id").alias("component_id"))
-    full = rows.where(has_set).select("id", "n_shingles", "hi", "lo")
-    here = full.join(F.broadcast(hot), ["hi", "lo"])
-    rest = full.join(F.broadcast(hot.select("hi", "lo")), ["hi", "lo"], "left_anti").join(classes.select("hi", "lo", "component_id").hint("merge"), ["hi", "lo"])
-    cols = ["id", "n_shingles", "component_id"]
-    return alone.unionByName(here.select(cols)).unionByName(rest.select(cols))
-
-
 def _blocks(members: DataFrame) -> DataFrame:
     """Adds ``(blocks, own)`` to the members (with ``name, n, family``) of families that have two or more: their block."""
     sizes = members.groupBy("family").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).where("docs > 1")
