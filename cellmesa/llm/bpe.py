@@ -1,9 +1,9 @@
 """BPE encoding and decoding with chunks that documents share.
 
 A rolling hash over a text's bytes sets the cuts, so equal passages fall into equal chunks wherever they stand. A task
-encodes each distinct chunk once and keeps it in a cache of bounded size. A cut may fall inside a word, so the pieces at
+encodes each distinct chunk once and keeps it in a cache of bounded bytes. A cut may fall inside a word, so the pieces at
 each join are encoded again, in a window that takes in whole neighbours until a word lies on either side of it and whose
-encoding must agree exactly with those of the chunks it overlaps.
+encoding must agree exactly with those of the chunks it overlaps. A window that does not agree is widened by more words,  up to both chunks, and at last the whole text is encoded at once.
 
 Null and empty texts have no tokens. Repeated rows and rows without an id are encoded like any other; other columns of the
 input play no part.
@@ -79,7 +79,7 @@ class Codec:
     each text is encoded directly.
     """
 
-    def __init__(self, path: str, words: int = 700_000, chunk_bytes: int = 48 << 20):
+    def __init__(self, path: str, word_bytes: int = 96 << 20, chunk_bytes: int = 48 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -89,10 +89,10 @@ class Codec:
         self.joins_by_space = self.tok.decoder is None
         self.pieces = [self.tok.id_to_token(i) for i in range(self.tok.get_vocab_size(with_added_tokens=True))]
         self.words: dict[bytes, bytes] = {}
-        self.most_words = words
-        self.chunks: dict[bytes, tuple[bytes, bytes, bytes, bytes, bytes]] = {}
+        self.word_room = self.most_word_bytes = word_bytes
+        self.chunks: dict[bytes, tuple[int, bytes, int]] = {}
         self.room = chunk_bytes
-        self.reused = self.encoded = self.widened = 0
+        self.reused = self.encoded = self.widened = self.whole = 0
         self.by_word = self.direct(b"a b\n a") == self.direct(b"a") + self.direct(b"b") + self.direct(b"a") and not self.direct(b" ") and self.direct(b"A b.") == self.direct(b"a b") + self.direct(b".")
         tries = ("thing", "\u00c9t\u00e9", "stra\u00dfe", "e\u0144")
         self.letters_alone = self.by_word and all(self.letters(x) == self.direct(x.encode()) for x in tries)
@@ -106,13 +106,15 @@ class Codec:
         try:
             return b"".join(map(self.words.__getitem__, parts))
         except KeyError:
-            if len(self.words) > self.most_words:
+            if self.word_room < 0:
                 self.words.clear()
+                self.word_room = self.most_word_bytes
             new = [w for w in set(parts) if w not in self.words]
             ends = [w for w in new if w[-1] in b".,:;!?" and w[:-1].isalpha()]  # a letter and a mark never share a token
             self.learn({w for w in new if not (w[-1] in b".,:;!?" and w[:-1].isalpha())} | {w[:-1] for w in ends} | {w[-1:] for w in ends})
             for w in ends:
                 self.words[w] = self.words[w[:-1]] + self.words[w[-1:]]
+            self.word_room -= sum(150 + len(w) + len(self.words[w]) for w in new)
             return b"".join(map(self.words.__getitem__, parts))
 
     def learn(self, words: set[bytes]) -> None:
@@ -134,8 +136,8 @@ class Codec:
         ids = [x.id for x in self.tok.model.tokenize(shown)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def chunk(self, raw: bytes) -> tuple[bytes, bytes, bytes, bytes, bytes]:
-        """(head, ids of the body, tail, first word, last word): the body reaches from the first to the last start of a word."""
+    def chunk(self, raw: bytes) -> tuple[int, bytes, int]:
+        """(bytes before the body, its ids, bytes after it): the body reaches from the first to the last start of a word."""
         key = hashlib.blake2b(raw, digest_size=16).digest()
         if (got := self.chunks.get(key)) is not None:
             self.reused += 1
@@ -143,14 +145,13 @@ class Codec:
         self.encoded += 1
         first = _AFTER_SPACE.search(raw)
         if first is None or (end := _last_start(raw)) <= first.end():
-            got = (raw, b"", b"", b"", b"")
+            got = (len(raw), b"", 0)
         else:
-            body = raw[first.end() : end]
-            got = (raw[: first.end()], self.whole_words(body), raw[end:], body.split(None, 1)[0], body.rsplit(None, 1)[-1])
+            got = (first.end(), self.whole_words(raw[first.end() : end]), len(raw) - end)
         self.chunks[key] = got
-        self.room -= 500 + sum(map(len, got))
+        self.room -= 400 + len(got[1])
         while self.room < 0:
-            self.room += 500 + sum(map(len, self.chunks.pop(next(iter(self.chunks)))))
+            self.room += 400 + len(self.chunks.pop(next(iter(self.chunks)))[1])
         return got
 
     def encode(self, text: str | None) -> bytes:
@@ -158,31 +159,36 @@ class Codec:
         raw = (text or "").encode("utf-8", "replace")
         if not self.by_word:
             return self.direct(raw)
-        out: list[bytes] = []
-        pending, left, last, at = b"", b"", b"", 0
+        bodies, at = [(0, 0, b"")], 0
         for end in cuts(raw):
-            head, body, tail, first, final = self.chunk(raw[at:end])
+            before, ids, after = self.chunk(raw[at:end])
+            if at + before < end:  # else no word lies whole inside, and the join takes in the chunk
+                bodies.append((at + before, end - after, ids))
             at = end
-            if not first:
-                pending += head  # no word lies whole inside: the join takes in the chunk
-                continue
-            out += [self.join(last, left, pending + head, first, body), body]
-            pending, left, last = tail, body, final
-        out.append(self.join(last, left, pending, b"", b""))
+        bodies.append((at, at, b""))
+        out: list[bytes] = []
+        for left, right in zip(bodies, bodies[1:]):
+            between = self.join(raw, left, right)
+            if between is None:
+                self.whole += 1
+                return self.direct(raw)
+            out += [between, right[2]]
         return b"".join(out)
 
-    def join(self, before: bytes, left: bytes, middle: bytes, after: bytes, right: bytes) -> bytes:
-        """Ids of what lies between two bodies: a window with a word of each is encoded again and has to agree with both."""
+    def join(self, raw: bytes, left: tuple[int, int, bytes], right: tuple[int, int, bytes]) -> bytes | None:
+        """Ids of what lies between two bodies ``(start, end, ids)``: a window with words of each is encoded again and has to
+        agree with both; it is widened until it does, and null if it never does."""
+        middle = raw[left[1] : right[0]]
         if not middle.split():
             return b""
-        whole = self.direct(b" ".join((before, middle, after)))
-        for _ in range(2):
+        for n in (1, 8, 64, -1):
+            before, after = _last_words(raw[left[0] : left[1]], n), _first_words(raw[right[0] : right[1]], n)
+            whole = self.direct(b" ".join((before, middle, after)))
             x, y = self.whole_words(before), self.whole_words(after)
-            if left.endswith(x) and right.startswith(y) and whole.startswith(x) and whole.endswith(y) and len(whole) >= len(x) + len(y):
+            if left[2].endswith(x) and right[2].startswith(y) and whole.startswith(x) and whole.endswith(y) and len(whole) >= len(x) + len(y):
                 return whole[len(x) : len(whole) - len(y)]
-            self.widened += 1  # the words' cached encodings are in doubt: take them, and the window, from the library
-            self.words.update({w: self.direct(w) for w in (before, after) if w})
-        raise ValueError("a join of chunks does not agree with its neighbours")
+            self.widened += 1
+        return None
 
     def decode(self, ids: bytes) -> str:
         """As the library's decode(ids, skip_special_tokens=False)."""
@@ -192,6 +198,14 @@ class Codec:
         return " ".join(map(self.pieces.__getitem__, got))
 
 
+def _first_words(raw: bytes, n: int) -> bytes:
+    return b" ".join(raw.split(None, n)[:n] if n > 0 else raw.split())
+
+
+def _last_words(raw: bytes, n: int) -> bytes:
+    return b" ".join(raw.rsplit(None, n)[-n:] if n > 0 else raw.split())
+
+
 def _last_start(raw: bytes) -> int:
     """Where the last word that follows a space starts; 0 if there is none."""
     at = len(raw)

@@ -2,7 +2,7 @@
 
 A batch's distinct pre-tokens lie end to end in one array of symbols with one array of starts. Each round finds the lowest
 merge rank of every pre-token, applies that pair at all its places in all pre-tokens at once, and drops pre-tokens that
-have no pair left; what survives is counted. A bounded cache holds the counts of pre-tokens that were seen before.
+have no pair left; what survives is counted. A cache of bounded bytes holds the counts of pre-tokens that were seen before.
 
 Null and empty texts have 0 bytes and 0 tokens. Repeated rows and rows without an id are counted like any other. Strings of
 added tokens inside a text count as one token each, as in the tokenizers library by default.
@@ -41,12 +41,14 @@ def byte_characters() -> list[str]:
 class RankMerger:
     """Counts of symbols for a byte-level BPE file of the tokenizers library."""
 
-    def __init__(self, path: str, cache: int = 600_000):
+    def __init__(self, path: str, cache_bytes: int = 96 << 20):
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         kind, model = told["pre_tokenizer"] or {}, told["model"]
         if kind.get("type") != "ByteLevel" or not kind.get("use_regex", True) or kind.get("add_prefix_space") or told["normalizer"]:
             raise ValueError("only byte-level BPE without a normalizer or added leading space is supported")
+        if model.get("ignore_merges") or model.get("dropout") or any(x.get(k) for x in told["added_tokens"] for k in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("whole-word tokens, dropout and added tokens that take in their surroundings are not supported")
         vocab = model["vocab"]
         self.of_byte = np.array([vocab[c] for c in byte_characters()], np.int64)
         pairs = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
@@ -59,7 +61,7 @@ class RankMerger:
         self.split_added = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.words = regex.compile(PATTERN)
         self.cache: dict[str, int] = {}
-        self.most = cache
+        self.room = self.most = cache_bytes
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.width + right
@@ -121,10 +123,12 @@ class RankMerger:
                 parts = self.split_added.split(parts[0])
             plus.append(len(parts) - 1)
             split.append([w for p in parts for w in self.words.findall(p)] if len(parts) > 1 else self.words.findall(parts[0]))
-        if len(self.cache) > self.most:
+        if self.room < 0:
             self.cache.clear()
+            self.room = self.most
         new = [w for w in set().union(*split) if w not in self.cache]
         self.cache.update(zip(new, self.merge([w.encode() for w in new]).tolist(), strict=True))
+        self.room -= sum(130 + len(w) for w in new)
         known = self.cache.__getitem__
         return [sum(map(known, words)) + n for words, n in zip(split, plus, strict=True)]
 

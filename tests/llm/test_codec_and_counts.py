@@ -30,6 +30,27 @@ def test_codec_agrees_with_the_library_on_whole_texts():
     assert codec.reused > 0 and codec.by_word
 
 
+def test_joins_that_do_not_agree_are_widened_to_the_whole_text(monkeypatch):
+    codec = bpe.Codec(public_tokenizers.path("word_bpe_49k.json"), word_bytes=2000, chunk_bytes=2000)
+    text = "".join(f"word{i} and more, " for i in range(2000))
+    want = codec.direct(text.encode())
+    assert codec.encode(text) == want and codec.whole == 0
+    right = codec.whole_words
+    monkeypatch.setattr(codec, "whole_words", lambda raw: b"" if raw == b"" else right(raw) + b"\0\0\0\0")  # chunks that are wrong at their ends
+    codec.chunks.clear()
+    assert codec.encode(text) == want and codec.whole == 1 and codec.widened > 0
+
+
+def test_caches_are_bounded_by_bytes():
+    codec = bpe.Codec(public_tokenizers.path("word_bpe_49k.json"), word_bytes=100_000, chunk_bytes=100_000)
+    merger = token_counts.RankMerger(public_tokenizers.path("byte_bpe_50k.json"), cache_bytes=100_000)
+    for i in range(30):
+        text = f"{i}" + "x" * 60_000 + " y"
+        codec.encode(text)
+        merger.counts([text])
+    assert sum(map(len, codec.words)) < 300_000 and sum(map(len, merger.cache)) < 300_000 and sum(len(x[1]) for x in codec.chunks.values()) < 100_000
+
+
 def test_codec_with_a_vocabulary_that_keeps_white_space():
     tok, codec = library("byte_bpe_50k.json"), bpe.Codec(public_tokenizers.path("byte_bpe_50k.json"))
     assert not codec.by_word
