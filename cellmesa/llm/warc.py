@@ -4,6 +4,8 @@ A task writes its rows as one gzip stream (as some crawlers do), which can only
 inflates such a stream once, in pieces, rewrites each record as a gzip member of its own and writes a sidecar index with
 the offset and length of each member; readers then fetch single members. All files go to the shared folder under names
 that no other attempt of a task uses, and a table lists those of the attempts that succeeded, so a task may be repeated.
+That folder has to be one that pyarrow's file systems open (file, hdfs, s3 or gs). A stream that is cut off is an error, and so
+is a number of records other than the number written.
 
 Of rows with equal payloads, those with the smallest id are responses and the others revisit it. A null payload is an empty
 one. Rows without an id are always responses, and are never revisited. Repeated rows are each written. An empty table gives
@@ -60,17 +62,21 @@ def record(row_id: int | None, url: str | None, payload: bytes, refers_to: int |
 
 
 def inflated(source, piece: int = PIECE) -> Iterator[bytes]:
-    """The bytes of a gzip file of one or many members, in pieces of bounded size."""
-    inflate = zlib.decompressobj(31)
+    """The bytes of a gzip file of one or many members, in pieces of bounded size; a member that is cut off is an error."""
+    inflate, inside = zlib.decompressobj(31), False
     while data := source.read(piece):
         while data:
+            inside = True
             yield inflate.decompress(data, piece)
             data = inflate.unconsumed_tail
             if inflate.eof:
-                data = inflate.unused_data
+                data, inside = inflate.unused_data, False
                 inflate = zlib.decompressobj(31)
-    if rest := inflate.flush():
-        yield rest
+    if inside:
+        if rest := inflate.flush():
+            yield rest
+        if not inflate.eof:
+            raise ValueError("the archive ends inside a gzip member")
 
 
 def records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -109,8 +115,16 @@ def write_archives(pages: DataFrame, folder: str, level: int = 3, id_col: str =
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
     keyed = rows.withColumn("sha", F.unhex(F.sha1("payload")))
     narrow = keyed.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.min("id").alias("holder"), F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(narrow.select("sha", "holder"), "sha", "left")
-    refers = F.when(F.col("id") > F.col("holder"), F.col("holder"))
+    narrow = stored(narrow, "digests")
+    # a digest with so many rows that it would stand out in its task (of which there are at most four for each partition) is
+    # broadcast, and its rows are dealt out; all others meet their holder by digest
+    parts = 4 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = narrow.agg(F.sum("n")).first()[0] or 0
+    common = narrow.where(F.col("n") > max(100, total // parts)).select("sha", F.col("holder").alias("common"))
+    dealt = keyed.join(F.broadcast(common), "sha", "left").withColumn("salt", F.when(F.col("common").isNotNull(), 1 + F.pmod(F.xxhash64("id", "url"), F.lit(parts))).otherwise(0))
+    met = dealt.join(narrow.select("sha", "holder", F.lit(0).cast("long").alias("salt")).hint("merge"), ["sha", "salt"], "left")
+    holder = F.coalesce("common", "holder")
+    refers = F.when((F.col("id") > holder) & (F.octet_length("payload") >= least), holder)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _fs(folder)
@@ -231,6 +245,9 @@ def round_trip(pages: DataFrame, payloads: bool = False, **columns: str) -> Data
     """Write, normalise and read back all rows of ``pages``."""
     folder = shared_path(pages.sparkSession, "warc")
     written = stored(write_archives(pages, f"{folder}/streams", **columns), "archives")
-    n = max(1, written.count())
+    n, rows = written.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n = max(1, n)
     tidy = stored(normalise(written.repartition(n), f"{folder}/members"), "archives")
+    if (found := tidy.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) != rows:
+        raise ValueError(f"{rows} records were written and {found} found")
     return read_archives(tidy.repartition(n), f"{folder}/members", payloads)
