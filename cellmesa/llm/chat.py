@@ -14,8 +14,9 @@ as ``<turn:role>``, a line end, its text, a line end and ``</turn>`` with a line
 backslash and ``<``, and in roles also before ``>``, with ``\n`` for a line end, so any text comes back unchanged. The loss
 mask lists the code point ranges of assistant texts in the rendered string.
 
-Folding streams over sorted rows and holds one conversation's messages at a time. Null texts and roles are empty; rows without
-a conversation are one conversation with a null id; an empty log gives no rows. Ties of ``seq`` are broken by message, kind,
+Folding streams over sorted rows and holds one conversation's messages at a time; a conversation is one string of less than 2 GB
+in one task, and more is an error. Null texts and roles are empty; rows without a conversation are one conversation with a null
+id; an empty log gives no rows. Ties of ``seq`` are broken by message, kind,
 role and text.
 """
 

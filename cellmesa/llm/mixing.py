@@ -177,12 +177,12 @@ def _sized(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: s
 
 
 def mix(docs: DataFrame, repeats: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``(id, size, source_size, target, taken, copies)`` for every row, when each document has one source."""
+    """``(id, size, source_size, target, taken, copies, source)`` for every row, when each document has one source."""
     rows = stored(docs.select(*_sized(docs, seed, id_col, text_col, source_col)), "sizes")
     rule, per_source, ties = plan(rows, repeats=repeats)
     small = per_source.select(F.array("source").alias("sources"), "source_size", "target")
     out = _ruled(rows, rule, ties, F.struct("id", "size"), "1").join(F.broadcast(small), "sources")
-    return out.select(F.col("row.id").alias(id_col), "row.size", "source_size", "target", (F.col("row.size") * F.col("copies")).alias("taken"), "copies")
+    return out.select(F.col("row.id").alias(id_col), "row.size", "source_size", "target", (F.col("row.size") * F.col("copies")).alias("taken"), "copies", F.col("sources")[0].alias("source"))
 
 
 def mixed_documents(docs: DataFrame, repeats: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

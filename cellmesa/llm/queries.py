@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, embeddings, jaccard, licenses, mixing, quality, token_counts, urls, warc
+from .common import stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,13 +66,32 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy does by itself, from a stored ledger of all documents."""
+    return quality.ablations(stored(quality.ledger(quality.measure(_table(spark, sf_dir, "documents"))), "ledger"))
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix by source: its size, target and whether the words taken are within its longest document of the target."""
+    rows = mixing.mix(_table(spark, sf_dir, "documents"))
+    near = F.abs(F.sum("taken") - F.first("target")) <= F.max("size")
+    return rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.round(F.first("target"), 3).alias("target"), near.alias("near"))
+
+
+def mixing_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that belong to their source and their language at once, mixed: size and whole passes by membership pattern."""
+    docs = _table(spark, sf_dir, "documents")
+    rows = docs.select(F.col("doc_id").alias("id"), F.array(F.concat(F.lit("source "), "source"), F.concat(F.lit("lang "), "lang")).alias("sources"), mixing.words_of(F.col("text")).alias("size"))
+    mixed = mixing.mix_overlapping(rows)
+    return mixed.groupBy(F.array_join("sources", "|", "null").alias("pattern")).agg(F.count("*").alias("docs"), F.sum("size").alias("size"), F.sum(F.col("size") * F.col("copies")).alias("taken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filters, op2_bpe_codec, op3_warc_normaliser, op4_token_counts, op5_embedding_neardup, op6_license_scan, op7_ngram_join, op8_quality_rules, op9_chat_format, op10_mixing)
+    for f in (op1_url_filters, op2_bpe_codec, op3_warc_normaliser, op4_token_counts, op5_embedding_neardup, op6_license_scan, op7_ngram_join, op8_quality_rules, op9_chat_format, op10_mixing, quality_ablations, mixing_targets, mixing_overlaps)
 }
 
-SQL: dict[str, str] = {
-    "op8_quality_rules": r"""
+_LEDGER = r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents
 ), w AS (
@@ -97,7 +117,34 @@ WITH d AS (
     + 16 * CAST(word_chars < 2 * n_words AS BIGINT) + 32 * CAST(word_chars > 15 * n_words AS BIGINT)
     + 64 * CAST(4 * n_exclaims > n_words AS BIGINT) AS failures FROM m
 )
+"""
+
+SQL: dict[str, str] = {
+    "op8_quality_rules": _LEDGER
+    + r"""
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures = 0 AS kept, n_exclaims, n_lines, failures FROM f
+""",
+    "quality_ablations": _LEDGER
+    + r"""
+SELECT rule, count(*) FILTER (WHERE failures & b <> 0) AS n_failed, count(*) FILTER (WHERE failures = b) AS n_failed_alone,
+       count(*) FILTER (WHERE failures & (127 - b) = 0) AS n_kept_without
+FROM f, (VALUES ('few_words', 1), ('repeated_windows', 2), ('repeated_lines', 4), ('many_symbols', 8), ('short_words', 16), ('long_words', 32), ('many_exclamations', 64)) AS r(rule, b)
+GROUP BY rule
+""",
+    "mixing_targets": r"""
+WITH n AS (
+  SELECT source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM n GROUP BY source
+), w AS (
+  SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight, sum(source_size) OVER () AS total FROM s
+), f AS (  -- sources are full in the order of size by weight, up to the first that the common level does not fill
+  SELECT *, row_number() OVER o AS r, (total - (sum(3 * source_size) OVER o - 3 * source_size)) / (sum(weight) OVER () - sum(weight) OVER o + weight) AS level
+  FROM w WINDOW o AS (ORDER BY source_size / weight, source NULLS LAST)
+), g AS (
+  SELECT min(r) AS first_open, arg_min(level, r) AS level FROM f WHERE level * weight <= 3 * source_size
+)
+SELECT source, source_size, round(CASE WHEN r < first_open THEN 3 * source_size ELSE weight * g.level END, 3) AS target, true AS near FROM f, g
 """,
     "op5_embedding_neardup": r"""
 WITH RECURSIVE v AS (

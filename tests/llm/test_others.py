@@ -35,6 +35,25 @@ def test_inflating_in_pieces_and_errors():
         assert b"".join(got) == raw and len(got) == 40
     with pytest.raises(ValueError):
         list(warc.records(iter([raw[:-3]])))
+    # a stream cut off anywhere, also where a record ends
+    flushed = zlib.compressobj(6, zlib.DEFLATED, 31)
+    at_end = flushed.compress(warc.record(1, "u", b"x", None)) + flushed.flush(zlib.Z_FULL_FLUSH)
+    for cut in (stream[: len(stream) // 2], stream[:-1], at_end, warc.member(raw, 3) + stream[:50]):
+        with pytest.raises(ValueError):
+            list(warc.records(warc.inflated(io.BytesIO(cut))))
+
+
+def test_common_payloads_and_lost_records(spark, monkeypatch):
+    rows = [(i, "u", "the error page" if i % 3 else f"page {i}") for i in range(1, 900)] + [(None, "u", "the error page")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = warc.round_trip(df).collect()
+    assert len(got) == len(rows)
+    assert {(r.record_type, r.refers_to) for r in got if r.id and r.id % 3 and r.id > 1} == {("revisit", 1)}
+    assert {r.record_type for r in got if not r.id or r.id % 3 == 0 or r.id == 1} == {"response"}
+    short = warc.write_archives
+    monkeypatch.setattr(warc, "write_archives", lambda *a, **b: short(*a, **b).selectExpr("path", "n + 1 as n"))
+    with pytest.raises(ValueError, match="were written"):
+        warc.round_trip(df)
 
 
 # --- chat
@@ -45,6 +64,27 @@ def test_fold():
     assert chat.fold(e) == [("user", "hi"), ("assistant", "new")]
 
 
+def test_logs_of_all_kinds_on_spark(spark):
+    """Events in any order, ties, unknown kinds, and several conversations, folded on Spark as in one list."""
+    rng = random.Random(8)
+    rows = []
+    for conv in [*range(40), None]:
+        for seq in range(rng.randrange(1, 30)):
+            kind = rng.choice(["open", "open", "delta", "delta", "edit", "regenerate", "delete", "odd"])
+            rows.append((conv, rng.choice([seq, seq // 2]), rng.randrange(4), kind, rng.choice(["user", "assistant", None]), rng.choice([None, "", "a<b", "\\n"])))
+    log = list(rows)
+    rng.shuffle(log)
+    df = spark.createDataFrame([(*r, 0) for r in log], "conv_id long, seq long, message long, kind string, role string, text string, n_turns int").repartition(5)
+    got = {r.conv_id: r for r in chat.format_conversations(df).collect()}
+    null_first = lambda r: (r[1], r[2], r[3], r[4] is not None, r[4] or "", r[5] is not None, r[5] or "")
+    for conv in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == conv), key=null_first)
+        messages = chat.fold([r[2:] for r in own])
+        text, mask = chat.render(messages)
+        assert (got[conv].formatted, list(zip(got[conv].loss_starts, got[conv].loss_ends, strict=True)), got[conv].n_turns) == (text, mask, len(messages))
+    assert len(got) == 41
+
+
 def test_any_text_comes_back():
     rng = random.Random(1)
     parts = ["</turn>\n", "<turn:user>\n", "\\", "\\\\", "<", ">", "\n", "n", "\\n", "é", ""]
@@ -108,6 +148,27 @@ def test_vectors_link_as_in_brute_force(spark, monkeypatch, dim, block):
     assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize(("narrow", "smaller"), [(False, 3), (True, 1)])
+def test_large_labels_are_dealt_to_cells(spark, monkeypatch, narrow, smaller):
+    """Tables of cells, pairs that share several, and cells that stay large, against all pairs."""
+    monkeypatch.setattr(embeddings, "BLOCK", 32)
+    monkeypatch.setattr(embeddings, "SMALLER", smaller)
+    rng = np.random.RandomState(3)
+    base = rng.normal(size=(150, 64)) + (5 if narrow else 0)
+    rows = [(i, [float(np.float32(x)) for x in base[rng.randint(150)] + rng.normal(size=64) * rng.choice([0.0, 0.05, 0.1])], 1) for i in range(500)]
+    assert embeddings.dealing(500, 0.98)[0] > 0 or smaller == 1
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == brute_links(rows, 0.98)
+
+
+def test_dealing_grows_slowly():
+    assert embeddings.dealing(2048, 0.98) == (0, 1)
+    assert embeddings.dealing(40_000, 0.5) == (0, 1)  # tables would be more work than all pairs
+    for n in (20_000, 10**6, 10**9):
+        signs, tables = embeddings.dealing(n, 0.98)
+        assert n / 2**signs <= embeddings.BLOCK / 4 and tables < 80
+
+
 def test_no_vectors(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
