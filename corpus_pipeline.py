@@ -2,8 +2,9 @@
 
 Quality rules drop the documents that the current policy rejects. The n-gram join keeps one document of each group of near
 duplicates (five words, Jaccard 0.8 or more): the one with the smallest id, and all documents without words or without an id.
+It decides by id, so rows that share one are one document: they stay or go together.
 The mix takes documents towards the sources' target weights, some of them up to three times. The last stage encodes and
-decodes what is left.
+decodes what is left: its rows hold the token ids.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(docs, vocabulary("word_bpe_49k.json"), ids=False, decoded=False)
+    return bpe.encode_documents(docs, vocabulary("word_bpe_49k.json"), ids=True, decoded=False)
 
 
 STAGES = [("quality rules", quality_stage), ("n-gram Jaccard join", dedup_stage), ("mix to target weights", mix_stage), ("BPE codec", encode_stage)]
