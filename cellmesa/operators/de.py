@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import math
+import warnings
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.special import normal_p, t_two_sided
 from ..model import CellDataset
-from .stats import bh, group_moments
+from .stats import bh, group_moments, scalar
 
+#: Genes times groups of a logistic regression.
+MOST_COEFFICIENTS = 5_000_000
 METHODS = ("wilcoxon", "t-test", "t-test_overestim_var", "logreg")
 
 
@@ -28,62 +33,78 @@ def fold_change(mean: Column, other: Column) -> Column:
     return F.log2((F.expm1(mean) + 1e-9) / (F.expm1(other) + 1e-9))
 
 
-def means(ds: CellDataset, labels: DataFrame, reference: str) -> DataFrame:
-    """``(group, gene_id, n, mean, other)``; the other mean is the rest's, by subtraction, or the reference's."""
-    m = group_moments(ds.X, labels, ds.var, "group")
-    own = m.select("group", "gene_id", "n", (F.col("s1") / F.col("n")).alias("mean"), F.try_divide(F.col("t1") - F.col("s1"), F.col("n_all") - F.col("n")).alias("rest"))
-    if reference == "rest":
-        return own.withColumnRenamed("rest", "other")
-    ref = own.where(F.col("group") == reference).select("gene_id", F.col("mean").alias("other"))
-    return own.drop("rest").join(ref, "gene_id")
+def _value_counts(ds: CellDataset, labels: DataFrame) -> DataFrame:
+    """``(gene_id, value, group, c)``: how many cells of a group store a value that is not zero."""
+    return ds.X.where(F.col("value") != 0).join(labels, "cell_id").groupBy("gene_id", "value", "group").agg(F.count("*").alias("c"))
 
 
-def rank_sums(ds: CellDataset, labels: DataFrame, reference: str = "rest") -> DataFrame:
-    """``(group, gene_id, n, n_all, rank_sum, ties)`` with average ranks and all zeros as one tied block.
+def _ranked(counts: DataFrame, by: list[str], more: dict[str, Column]) -> DataFrame:
+    """Per ``by`` and group: ``k`` entries, their rank sum among all entries ``r``, those above and below zero, the tie terms
+    ``t`` (t^3 - t of a value, shared out over the t entries that have it) and ``more`` sums."""
+    upto = Window.partitionBy(*by).orderBy("value").rangeBetween(Window.unboundedPreceding, 0)
+    tied = F.sum("c").over(Window.partitionBy(*by, "value"))
+    c, t = F.col("c"), F.col("_t").cast("double")
+    ranked = counts.withColumn("_t", tied).withColumn("_r", F.sum("c").over(upto) - (F.col("_t") - 1) / 2.0)
+    return ranked.groupBy(*by, "group").agg(
+        F.sum("c").alias("k"), F.sum(c * F.col("_r")).alias("r"), F.sum(F.when(F.col("value") > 0, c).otherwise(0)).alias("above"), F.sum(F.when(F.col("value") < 0, c).otherwise(0)).alias("below"),
+        F.sum(c * (t * t - 1)).alias("t"), *(F.sum(x).alias(k) for k, x in more.items()),
+    )
+
+
+def _with_zeros(rows: DataFrame, by: list[str], total: Column) -> DataFrame:
+    """Adds ``rank_sum`` and ``ties`` to rows per ``by`` and group (``n`` cells of ``total``): all zeros are one tied block."""
+    all_ = Window.partitionBy(*by)
+    zeros = total - F.sum("k").over(all_)
+    middle = F.sum("below").over(all_) + (zeros + 1) / 2.0
+    z = zeros.cast("double")
+    return rows.withColumns({"rank_sum": F.col("r") + F.col("above") * zeros + (F.col("n") - F.col("k")) * middle, "ties": F.sum("t").over(all_) + z * (z * z - 1)})
 
-    Entries are first counted by (gene, value, group), so a gene's ranks need one sorted pass over its distinct values
-    however many cells it has, and zeros cost one row per group. Against a reference each group is ranked with it alone.
+
+def _ranks_and_means(ds: CellDataset, labels: DataFrame) -> DataFrame:
+    """``(group, gene_id, n, n_all, rank_sum, ties, mean, other)`` against the rest, from one pass over the matrix.
+
+    Entries are first counted by (gene, value, group), so a gene's ranks need one sorted pass over its distinct values however
+    many cells it has, and its zeros are no rows at all.
     """
-    stored = ds.X.where(F.col("value") != 0).join(labels, "cell_id").groupBy("gene_id", "value", "group").agg(F.count("*").alias("c"))
+    per = _ranked(_value_counts(ds, labels), ["gene_id"], {"s": F.col("c") * F.col("value")})
     sizes = labels.groupBy("group").agg(F.count("*").alias("n"))
-    filled = stored.groupBy("gene_id", "group").agg(F.sum("c").alias("k"))
-    zeros = ds.var.select("gene_id").crossJoin(F.broadcast(sizes)).join(filled, ["gene_id", "group"], "left").select("gene_id", F.lit(0.0).alias("value"), "group", (F.col("n") - F.coalesce("k", F.lit(0))).alias("c"))
-    counts = stored.unionByName(zeros.where("c > 0"))
-    if reference == "rest":
-        total = sizes.agg(F.sum("n").alias("n_all"))
-        against = sizes.crossJoin(F.broadcast(total)).withColumn("pair", F.lit(""))
-        counts = counts.withColumn("pair", F.lit(""))
-        pair = ["gene_id"]
-    else:
-        ref = sizes.where(F.col("group") == reference).select(F.col("n").alias("n_ref"))
-        others = sizes.where(F.col("group") != reference)
-        against = others.crossJoin(F.broadcast(ref)).select("group", "n", (F.col("n") + F.col("n_ref")).alias("n_all"), F.col("group").alias("pair"))
-        names = F.broadcast(others.agg(F.collect_list("group").alias("names")))  # one name per group
-        mine = F.when(F.col("group") == reference, F.col("names")).otherwise(F.array("group"))
-        counts = counts.crossJoin(names).withColumn("pair", F.explode(mine)).drop("names")
-        pair = ["pair", "gene_id"]
-    upto = Window.partitionBy(*pair).orderBy("value").rangeBetween(Window.unboundedPreceding, 0)
-    tied = F.sum("c").over(Window.partitionBy(*pair, "value"))
-    ranked = counts.withColumn("_t", tied).withColumn("_r", F.sum("c").over(upto) - (F.col("_t") - 1) / 2.0)
-    # the tie term of a value, t^3 - t, shared out over the t entries that have it
-    per = ranked.groupBy(*pair, "group").agg(F.sum(F.col("c") * F.col("_r")).alias("rank_sum"), F.sum(F.col("c") * (F.col("_t").cast("double") * F.col("_t") - 1)).alias("_ties"))
-    per = per.withColumn("ties", F.sum("_ties").over(Window.partitionBy(*pair))).drop("_ties")
-    if reference == "rest":
-        return per.join(F.broadcast(against.drop("pair")), "group").select("group", "gene_id", "n", "n_all", "rank_sum", "ties")
-    met = per.join(F.broadcast(against), ["pair", "group"])
-    return met.select("group", "gene_id", "n", "n_all", "rank_sum", "ties")
+    sizes = sizes.crossJoin(scalar(sizes.agg(F.sum("n").alias("n_all"))))
+    grid = ds.var.select("gene_id").crossJoin(sizes).join(per, ["gene_id", "group"], "left").na.fill(0, ["k", "r", "above", "below", "t", "s"])
+    out = _with_zeros(grid, ["gene_id"], F.col("n_all")).withColumn("all_s", F.sum("s").over(Window.partitionBy("gene_id")))
+    return out.select("group", "gene_id", "n", "n_all", "rank_sum", "ties", (F.col("s") / F.col("n")).alias("mean"), F.try_divide(F.col("all_s") - F.col("s"), F.col("n_all") - F.col("n")).alias("other"))
+
+
+def _ranks_against(ds: CellDataset, labels: DataFrame, reference: str) -> DataFrame:
+    """The same of each group against a reference: each is ranked with it alone. Rows of the reference are left out."""
+    counts, sizes = _value_counts(ds, labels), labels.groupBy("group").agg(F.count("*").alias("n"))
+    others = sizes.where(F.col("group") != reference)
+    names = scalar(others.agg(F.collect_list("group").alias("names")))  # one name per group
+    mine = F.when(F.col("group") == reference, F.col("names")).otherwise(F.array("group"))
+    paired = counts.crossJoin(names).withColumn("pair", F.explode(mine)).drop("names")
+    per = _ranked(paired, ["pair", "gene_id"], {"s": F.col("c") * F.col("value")})
+    own = others.select(F.col("group").alias("pair"), "group", "n").unionByName(sizes.where(F.col("group") == reference).crossJoin(others.select(F.col("group").alias("pair"))).select("pair", "group", "n"))
+    grid = ds.var.select("gene_id").crossJoin(own).join(per, ["pair", "gene_id", "group"], "left").na.fill(0, ["k", "r", "above", "below", "t", "s"])
+    pair = Window.partitionBy("pair", "gene_id")
+    both = grid.withColumns({"n_all": F.sum("n").over(pair), "all_s": F.sum("s").over(pair)})
+    out = _with_zeros(both, ["pair", "gene_id"], F.col("n_all")).where(F.col("group") != reference)
+    return out.select("group", "gene_id", "n", "n_all", "rank_sum", "ties", (F.col("s") / F.col("n")).alias("mean"), F.try_divide(F.col("all_s") - F.col("s"), F.col("n_all") - F.col("n")).alias("other"))
+
+
+def rank_sums(ds: CellDataset, labels: DataFrame, reference: str = "rest") -> DataFrame:
+    """``(group, gene_id, n, n_all, rank_sum, ties)`` with average ranks and all zeros as one tied block."""
+    got = _ranks_and_means(ds, labels) if reference == "rest" else _ranks_against(ds, labels, reference)
+    return got.drop("mean", "other")
 
 
 def wilcoxon(ds: CellDataset, groupby: str, groups: Sequence[str] | None = None, reference: str = "rest", tie_correct: bool = False) -> DataFrame:
     labels = _labels(ds, groupby, groups, reference)
-    ranks = rank_sums(ds, labels, reference)
+    ranks = _ranks_and_means(ds, labels) if reference == "rest" else _ranks_against(ds, labels, reference)
     n, N = F.col("n").cast("double"), F.col("n_all").cast("double")
     c = 1 - F.coalesce(F.try_divide(F.col("ties"), N * N * N - N), F.lit(0.0)) if tie_correct else F.lit(1.0)
     spread = F.sqrt(c * n * (N - n) * (N + 1) / 12.0)
     score = F.when(spread > 0, (F.col("rank_sum") - n * (N + 1) / 2.0) / spread).otherwise(F.lit(0.0))
-    got = ranks.select("group", "gene_id", score.alias("score")).withColumn("pval", normal_p("score"))
-    got = got.join(means(ds, labels, reference), ["group", "gene_id"])
-    return bh(got.select("group", "gene_id", "score", fold_change(F.col("mean"), F.col("other")).alias("logfoldchange"), "pval"), "pval", ["group"])
+    got = ranks.select("group", "gene_id", score.alias("score"), fold_change(F.col("mean"), F.col("other")).alias("logfoldchange")).withColumn("pval", normal_p("score"))
+    return bh(got.select("group", "gene_id", "score", "logfoldchange", "pval"), "pval", ["group"])
 
 
 def _moment(s1: Column, s2: Column, n: Column) -> Column:
@@ -118,23 +139,32 @@ def t_test(ds: CellDataset, groupby: str, groups: Sequence[str] | None = None, r
 def logreg(ds: CellDataset, groupby: str, groups: Sequence[str] | None = None, reference: str = "rest") -> DataFrame:
     """``(group, gene_id, score)``: coefficients of a ridge-penalised multinomial fit; two groups share one vector.
 
-    The genes of ``var`` are the columns of a sparse design, so select them first.
+    The genes of ``var`` are the columns of a sparse design. The driver holds the coefficients, and more than
+    ``MOST_COEFFICIENTS`` are an error.
     """
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import VectorUDT
 
     labels = _labels(ds, groupby, groups, reference)
     names = [r[0] for r in labels.select("group").distinct().orderBy("group").collect()]
-    genes = [r[0] for r in ds.var.select("gene_id").orderBy("gene_id").collect()]
-    at = F.create_map(*(x for i, g in enumerate(genes) for x in (F.lit(g), F.lit(i))))
-    pairs = ds.X.groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct(at[F.col("gene_id")].alias("i"), "value"))).alias("m"))
-    row = F.transform(F.sequence(F.lit(0), F.lit(len(genes) - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
-    rows = labels.join(pairs, "cell_id", "left").select((F.array_position(F.array(*map(F.lit, names)), F.col("group")) - 1).cast("double").alias("label"), array_to_vector(F.coalesce(row, F.array_repeat(F.lit(0.0), len(genes)))).alias("features"))
+    genes = sorted(ds.var.select("gene_id").toPandas()["gene_id"].tolist())
+    if len(genes) * len(names) > MOST_COEFFICIENTS:
+        raise ValueError(f"more than {MOST_COEFFICIENTS} coefficients; select variable genes first")
+    spark = ds.X.sparkSession
+    places = spark.createDataFrame(list(zip(genes, range(len(genes)), strict=True)), "gene_id long, i int")
+    entries = F.sort_array(F.collect_list(F.struct("i", "value")))
+    held = ds.X.where("value <> 0").join(places, "gene_id").groupBy("cell_id").agg(entries.alias("e"))
+    none = F.array().cast("array<struct<i:int,value:double>>")
+    met = labels.join(held, "cell_id", "left").withColumn("e", F.coalesce("e", none))
+    # a sparse vector is a struct of a kind, a size, places and values; JSON is how a struct of columns becomes one
+    vector = F.struct(F.lit(0).alias("type"), F.lit(len(genes)).alias("size"), F.col("e.i").alias("indices"), F.col("e.value").alias("values"))
+    made = F.from_json(F.to_json(F.struct(vector.alias("f"))), StructType([StructField("f", VectorUDT())]))["f"]
+    rows = met.select((F.array_position(F.array(*map(F.lit, names)), F.col("group")) - 1).cast("double").alias("label"), made.alias("features"))
     n = labels.count()
     learner = LogisticRegression(family="multinomial" if len(names) > 2 else "binomial", regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-9)
     matrix = learner.fit(rows).coefficientMatrix.toArray()
     out = [(g, genes[j], float(matrix[i if len(matrix) > 1 else 0, j])) for i, g in enumerate(names) for j in range(len(genes))]
-    return ds.X.sparkSession.createDataFrame(out, "group string, gene_id long, score double")
+    return spark.createDataFrame(out, "group string, gene_id long, score double")
 
 
 def rank_genes_groups(ds: CellDataset, groupby: str, groups: Sequence[str] | None = None, reference: str = "rest", method: str = "wilcoxon") -> DataFrame:
@@ -172,10 +202,26 @@ def expressed_fractions(ds: CellDataset, groupby: str) -> DataFrame:
     return m.select("group", "gene_id", (F.col("s1") / F.col("n")).alias("inside"), F.try_divide(F.col("t1") - F.col("s1"), F.col("n_all") - F.col("n")).alias("outside"))
 
 
-def filter_rank_genes_groups(ds: CellDataset, table: DataFrame, groupby: str, min_in: float = 0.25, max_out: float = 0.5, min_fold: float = 2.0) -> DataFrame:
-    """The table with ``gene_id`` null where a gene is too rare inside, too common outside or too little changed."""
-    met = table.join(expressed_fractions(ds, groupby), ["group", "gene_id"])
-    keep = (F.col("inside") > min_in) & (F.col("outside") < max_out) & (F.col("logfoldchange") > min_fold)
+def mean_folds(ds: CellDataset, groupby: str) -> DataFrame:
+    """``(group, gene_id, fold)``: log2 ratios of the means in a group and in all other cells, whatever base their logarithms
+    have (``uns["log1p"]["base"]``, natural if it is not told)."""
+    base = (ds.uns.get("log1p") or {}).get("base")
+    grow = lambda m: F.expm1(m * math.log(base) if base else m) + 1e-9
+    m = group_moments(ds.X, ds.obs, ds.var, groupby)
+    other = F.try_divide(F.col("t1") - F.col("s1"), F.col("n_all") - F.col("n"))
+    return m.select("group", "gene_id", F.log2(grow(F.col("s1") / F.col("n")) / grow(other)).alias("fold"))
+
+
+def filter_rank_genes_groups(ds: CellDataset, table: DataFrame, groupby: str, min_in: float = 0.25, max_out: float = 0.5, min_fold: float = 2.0, own_folds: bool = False) -> DataFrame:
+    """The table with ``name``, its ``gene_id`` or null where a gene is too rare inside, too common outside or too little changed.
+
+    The table's fold changes count, unless ``own_folds`` asks for those of ``groupby`` against the rest: a table of another
+    grouping, against a reference, or without fold changes has none that fit.
+    """
+    met, fold = table.join(expressed_fractions(ds, groupby), ["group", "gene_id"]), "logfoldchange"
+    if own_folds or fold not in table.columns:
+        met, fold = met.join(mean_folds(ds, groupby), ["group", "gene_id"]), "fold"
+    keep = (F.col("inside") > min_in) & (F.col("outside") < max_out) & (F.col(fold) > min_fold)
     return met.withColumn("name", F.when(keep, F.col("gene_id"))).select(*table.columns, "name")
 
 
@@ -184,7 +230,9 @@ MEASURES = ("overlap_count", "overlap_coef", "jaccard")
 
 def marker_gene_overlap(table: DataFrame, reference: Mapping[str, Sequence[int]] | DataFrame, top_n: int = 100) -> DataFrame:
     """``(set_name, group, overlap_count, overlap_coef, jaccard)`` of each group's first genes and each reference set."""
-    top_n = max(1, top_n)
+    if top_n < 1:
+        warnings.warn("top_n has to be 1 or more; the first gene is taken", stacklevel=2)
+        top_n = 1
     if not isinstance(reference, DataFrame):
         reference = table.sparkSession.createDataFrame([(k, g) for k, v in reference.items() for g in v], "set_name string, gene_id long")
     reference = reference.select("set_name", "gene_id").distinct()

@@ -27,13 +27,14 @@ def known_genes(ds: CellDataset, genes: Sequence[int]) -> list[int]:
 def control_genes(ds: CellDataset, genes: Sequence[int], ctrl_size: int = 50, n_bins: int = 25, seed: int = 0) -> list[int]:
     """Genes of the bins (by rank of mean) that hold the given ones. Of a bin with more than ``ctrl_size`` genes, as many as
     that are drawn, bin after bin, from one legacy stream of numpy; given genes are then left out."""
-    n = ds.var.count()
-    items = max(1, int(np.round(n / (n_bins - 1))))
-    ranked = gene_moments(ds.X, ds.obs, ds.var).select("gene_id", (F.rank().over(Window.orderBy("mean")) / items).cast("long").alias("bin"))
-    own = F.broadcast(ds.X.sparkSession.createDataFrame([(int(g),) for g in genes], "gene_id long"))
-    bins = ranked.join(own, "gene_id", "left_semi").select("bin").distinct()
+    own = ds.X.sparkSession.createDataFrame([(int(g), True) for g in genes], "gene_id long, own boolean")
+    means = gene_moments(ds.X, ds.obs, ds.var).select("gene_id", "mean").join(F.broadcast(own), "gene_id", "left")
+    # one row per gene: ranks, and which bins hold a given gene, in one pass over the means
+    items = F.greatest(F.lit(1.0), F.bround(F.count("*").over(Window.partitionBy()) / (n_bins - 1)))
+    ranked = means.select("gene_id", "own", F.floor(F.rank().over(Window.orderBy("mean")) / items).alias("bin"))
+    held = ranked.withColumn("held", F.max("own").over(Window.partitionBy("bin"))).where("held")
     pool: dict[int, list[int]] = {}
-    for b, g in ranked.join(F.broadcast(bins), "bin", "left_semi").select("bin", "gene_id").orderBy("bin", "gene_id").collect():
+    for b, g in held.select("bin", "gene_id").orderBy("bin", "gene_id").collect():
         pool.setdefault(b, []).append(g)
     rng, out = np.random.RandomState(seed), []
     for b in sorted(pool):
