@@ -99,7 +99,7 @@ def harmony_integrate(
             x = _harmony(x, codes, nb, theta, sigma, lamb, n_clusters, max_iter, max_iter_kmeans, seed)
         return pa.table({"cell_id": ids[order], "vec": pa.array(list(x), pa.list_(pa.float64()))})
 
-    return in_one_task(rows, kernel, "cell_id long, vec array<double>")
+    return in_one_task(rows, kernel, "cell_id long, vec array<double>", most)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

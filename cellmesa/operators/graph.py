@@ -9,19 +9,58 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.krylov import leading_eigenpairs, signed
 from .stats import scalar
 
 BLOCK = 2048
 
 
-def in_one_task(df: DataFrame, kernel, schema: str) -> DataFrame:
-    """Run a function of one Arrow table, for algorithms that are sequential; callers guard the size."""
-    return df.withColumn("_one", F.lit(0)).groupBy("_one").applyInArrow(lambda t: kernel(t.drop_columns(["_one"])), schema)
+def in_one_task(df: DataFrame, kernel, schema: str, most: int) -> DataFrame:
+    """Run a function of one Arrow table, for algorithms that are sequential.
+
+    The task is sent ``most`` rows and one at the utmost, whatever the size of the table; with more than ``most`` the job fails
+    before the function runs.
+    """
+
+    def checked(t: pa.Table) -> pa.Table:
+        if t.num_rows > most:
+            raise ValueError(f"more than {most} rows")
+        return kernel(t.drop_columns(["_one"]))
+
+    return df.limit(most + 1).withColumn("_one", F.lit(0)).groupBy("_one").applyInArrow(checked, schema)
+
+
+#: Edges for each node that a task of a graph is sent at the utmost.
+EDGES_A_NODE = 64
 
 
 # --- neighbours
 
 
+def _nearest(a: np.ndarray, b: np.ndarray, same: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places in b, distances) of the k nearest rows of b to each row of a, ties to the first; ``same`` marks those left out.
+
+    Squares of distances come from one matrix product; all within its rounding of the k-th are measured exactly.
+    """
+    k = min(k, len(b))
+    top = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :]
+    rough = top - 2 * (a @ b.T)
+    rough[same] = np.inf
+    cut = np.partition(rough, k - 1, axis=1)[:, k - 1]
+    slack = 1e-12 * (1 + a.shape[1]) * top.max(axis=1)
+    near = rough <= (cut + slack)[:, None]
+    wide = int(near.sum(1).max())
+    order = np.argsort(~near, axis=1, kind="stable")[:, :wide]  # the near ones, in the order of b
+    exact = np.full(order.shape, np.inf)
+    for at in range(0, len(a), max(1, 4_000_000 // max(1, wide * a.shape[1]))):
+        part = slice(at, at + max(1, 4_000_000 // max(1, wide * a.shape[1])))
+        gaps = a[part, None, :] - b[order[part]]
+        exact[part] = np.sqrt((gaps * gaps).sum(2))
+    exact[~np.take_along_axis(near, order, 1) | np.take_along_axis(same, order, 1)] = np.inf
+    best = np.argsort(exact, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(order, best, 1), np.take_along_axis(exact, best, 1)
+
+
 def knn(points: DataFrame, n_neighbors: int = 15, vec: str = "vec") -> DataFrame:
     """``(src, rank, dst, dist)``: each point's ``n_neighbors - 1`` nearest others by Euclidean distance, ties by smaller id.
 
@@ -43,13 +82,10 @@ def knn(points: DataFrame, n_neighbors: int = 15, vec: str = "vec") -> DataFrame
         a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
         b = b[np.argsort(ids[b], kind="stable")]
         src, dst, dist = [], [], []
-        step = max(1, 8_000_000 // max(1, len(b) * v.shape[1]))
+        step = max(1, 4_000_000 // max(1, len(b)))
         for at in range(0, len(a), step):
             part = a[at : at + step]
-            d = np.sqrt(((v[part][:, None, :] - v[b][None, :, :]) ** 2).sum(2))
-            d[ids[part][:, None] == ids[b][None, :]] = np.inf
-            order = np.argsort(d, axis=1, kind="stable")[:, :k]
-            got = np.take_along_axis(d, order, 1)
+            order, got = _nearest(v[part], v[b], ids[part][:, None] == ids[b][None, :], k)
             ok = np.isfinite(got)
             src.append(np.repeat(ids[part], ok.sum(1)))
             dst.append(ids[b][order][ok])
@@ -141,12 +177,12 @@ def paga(graph: DataFrame, labels: DataFrame) -> DataFrame:
     return met.select("g1", "g2", F.least(F.col("seen") / expected, F.lit(1.0)).alias("connectivity"))
 
 
-def spanning_forest(table: DataFrame, most: int = 10_000) -> DataFrame:
+def spanning_forest(table: DataFrame, most: int = 3_000) -> DataFrame:
     """``(g1, g2, connectivity)``: a maximum spanning forest of a PAGA table, each edge once with g1 < g2."""
+    if table.select("g1").union(table.select("g2")).distinct().limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} groups")
     rows = table.where("g1 < g2").orderBy(F.desc("connectivity"), "g1", "g2").collect()
     names = {x for r in rows for x in r[:2]}
-    if len(names) > most:
-        raise ValueError(f"more than {most} groups")
     root = {x: x for x in names}
 
     def find(x):
@@ -213,10 +249,12 @@ def transitions(graph: DataFrame) -> DataFrame:
     return k.join(zi, "src").join(zj, "dst").select("src", "dst", (F.col("k") / F.col("zi") / F.col("zj")).alias("weight"))
 
 
-def diffmap(graph: DataFrame, n_comps: int = 15, most: int = 20_000) -> DataFrame:
+def diffmap(graph: DataFrame, n_comps: int = 15, most: int = 200_000, dense: int = 2_000) -> DataFrame:
     """``(cell_id, vec, evals)``: leading eigenvectors of the transition operator by size, the trivial one first.
 
-    One task holds the operator, so more than ``most`` nodes, a disconnected graph, or too many components are errors.
+    One task holds the edges and some hundred vectors, so more than ``most`` nodes or ``EDGES_A_NODE`` times as many edges, a
+    disconnected graph, or too many components are errors. Up to ``dense`` nodes the operator is decomposed whole, else its
+    products with blocks of vectors are.
     """
     t = transitions(graph)
 
@@ -241,16 +279,24 @@ def diffmap(graph: DataFrame, n_comps: int = 15, most: int = 20_000) -> DataFram
             root = low
         if root.any():
             raise ValueError("the graph is not connected")
-        m = np.zeros((n, n))
-        m[i, j] = w
-        values, vectors = np.linalg.eigh((m + m.T) / 2)
-        top = np.argsort(-np.abs(values))[:n_comps]
-        top = top[np.argsort(-values[top])]
-        v = vectors[:, top]
-        v = v * np.sign(v[np.abs(v).argmax(0), np.arange(len(top))])
-        return pa.table({"cell_id": ids, "vec": pa.array(list(v), pa.list_(pa.float64())), "evals": pa.array([values[top]] * n, pa.list_(pa.float64()))})
-
-    return in_one_task(t, kernel, "cell_id long, vec array<double>, evals array<double>")
+        if n <= dense:
+            m = np.zeros((n, n))
+            m[i, j] = w
+            values, vectors = np.linalg.eigh((m + m.T) / 2)
+            top = np.argsort(-np.abs(values))[:n_comps]
+            top = top[np.argsort(-values[top])]
+            values, vectors = values[top], vectors[:, top]
+        else:
+            both = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([w, w]) / 2
+            order = np.argsort(both[0], kind="stable")
+            row, col, weight = (x[order] for x in both)
+            first = np.searchsorted(row, np.arange(n))  # connected, so every node has an edge
+            times = lambda x: np.stack([np.add.reduceat(weight * x[col, k], first) for k in range(x.shape[1])], 1)
+            values, vectors = leading_eigenpairs(times, n, n_comps, by_size=True, most=max(120, 4 * n_comps))
+        v = signed(vectors)
+        return pa.table({"cell_id": ids, "vec": pa.array(list(v), pa.list_(pa.float64())), "evals": pa.array([values] * n, pa.list_(pa.float64()))})
+
+    return in_one_task(t, kernel, "cell_id long, vec array<double>, evals array<double>", EDGES_A_NODE * most)
 
 
 def dpt(diffusion: DataFrame, root: int, n_dcs: int = 10) -> DataFrame:
@@ -309,6 +355,8 @@ def dendrogram(points: DataFrame, group: str, n_pcs: int = 50, vec: str = "vec",
 
     Between 2 and ``most`` groups; ties take the first pair by row and column.
     """
+    if points.select(F.col(group)).distinct().limit(most + 2).count() > most + 1:  # one may be null
+        raise ValueError(f"between 2 and {most} groups are needed")
     rows = centroid_correlation(points, group, n_pcs, vec).collect()
     names = sorted({r[0] for r in rows})
     if not 2 <= len(names) <= most:
