@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,7 +64,8 @@ class CellDataset:
         return stored / (n * m) if n and m else 1.0
 
     def write(self, path: str, cell_buckets: int | None = None) -> None:
-        """One Parquet folder per slot; ``X`` is clustered by cell, so that readers of some cells skip the rest."""
+        """One Parquet folder per slot; ``X`` is clustered by cell, so that readers of some cells skip the rest. What ``uns`` holds
+        besides tables is kept as JSON, and anything that JSON cannot say is an error."""
         x = self.X.repartitionByRange(cell_buckets, "cell_id") if cell_buckets else self.X.repartitionByRange("cell_id")
         x.sortWithinPartitions("cell_id", "gene_id").write.mode("overwrite").parquet(f"{path}/X")
         for side in ("obs", "var"):
@@ -71,13 +73,42 @@ class CellDataset:
         for slot in ("obsm", "varm", "obsp", "layers"):
             for name, df in getattr(self, slot).items():
                 df.write.mode("overwrite").parquet(f"{path}/{slot}/{name}")
+        plain, tables = {}, {}
+        for key, value in self.uns.items():
+            plain[key] = _plain(value, key, tables)
+        spark = self.X.sparkSession
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{path}/uns_tables/{name}")
+        spark.createDataFrame([(json.dumps(plain),)], "told string").coalesce(1).write.mode("overwrite").parquet(f"{path}/uns")
 
     @staticmethod
     def read(spark: SparkSession, path: str, **slots: tuple[str, ...]) -> CellDataset:
         """``slots``: names to read of each optional slot, as in ``obsm=("X_pca",)``."""
         read = spark.read.parquet
         more = {slot: {n: read(f"{path}/{slot}/{n}") for n in names} for slot, names in slots.items()}
-        return CellDataset(read(f"{path}/X"), read(f"{path}/obs"), read(f"{path}/var"), **more)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/uns")
+        uns = {}
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            uns = _with_tables(json.loads(read(f"{path}/uns").first()[0]), lambda name: read(f"{path}/uns_tables/{name}"))
+        return CellDataset(read(f"{path}/X"), read(f"{path}/obs"), read(f"{path}/var"), uns=uns, **more)
+
+
+def _plain(value: object, name: str, tables: dict[str, DataFrame]) -> object:
+    """``value`` with its tables taken out into ``tables`` and named instead."""
+    if isinstance(value, DataFrame):
+        tables[name] = value
+        return {"__table__": name}
+    if isinstance(value, dict):
+        return {k: _plain(v, f"{name}.{k}", tables) for k, v in value.items()}
+    if isinstance(value, (list, tuple)):
+        return [_plain(v, f"{name}.{i}", tables) for i, v in enumerate(value)]
+    return value
+
+
+def _with_tables(value: object, read) -> object:
+    if isinstance(value, dict):
+        return read(value["__table__"]) if set(value) == {"__table__"} else {k: _with_tables(v, read) for k, v in value.items()}
+    return [_with_tables(v, read) for v in value] if isinstance(value, list) else value
 
 
 def require(slot: dict[str, DataFrame], key: str, what: str) -> DataFrame:

@@ -202,6 +202,32 @@ def scale(ds: CellDataset, zero_center: bool = True, max_value: float | None = N
     return ds.with_(X=dense.select("cell_id", "gene_id", v.alias("value")))
 
 
+def scale_sparse(ds: CellDataset, max_value: float | None = None) -> CellDataset:
+    """Each gene centred and to unit variance, without a row for every zero: ``var.offset`` is what a zero becomes, and ``X`` holds
+    what the stored entries are beyond it. Value and offset add up to what ``scale`` gives. As an offset is the same for all
+    cells, principal components, which take the mean off, are those of the scaled values."""
+    at = lambda v: v if max_value is None else F.greatest(F.least(v, F.lit(float(max_value))), F.lit(-float(max_value)))
+    stats = gene_scale(ds).select("gene_id", "mean", "sd", at(-F.col("mean") / F.col("sd")).alias("offset"))
+    beyond = at((F.col("value") - F.col("mean")) / F.col("sd")) - F.col("offset")
+    return ds.with_(X=ds.X.join(stats, "gene_id").select("cell_id", "gene_id", beyond.alias("value")), var=ds.var.drop("offset").join(stats.select("gene_id", "offset"), "gene_id"))
+
+
+def numbered(df: DataFrame, key: str, buckets: int = 256) -> DataFrame:
+    """``df`` with ``at``, the place of each row from 0 in the order of a numeric key without repeats.
+
+    Rows are numbered within ranges of the key that its quantiles set, each a task, and the ranges' sizes, one row each, are
+    added up.
+    """
+    points = [i / buckets for i in range(1, buckets)]
+    edges = scalar(df.agg(F.percentile_approx(key, F.array(*map(F.lit, points)), F.lit(10 * buckets)).alias("_edges")))
+    dealt = df.crossJoin(edges).withColumn("_bucket", F.size(F.filter("_edges", lambda e: e < F.col(key)))).drop("_edges")
+    sizes = dealt.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select("_bucket", before.alias("_before")))
+    own = F.row_number().over(Window.partitionBy("_bucket").orderBy(key)) - 1
+    return dealt.withColumn("_own", own).join(starts, "_bucket").select(*df.columns, (F.col("_own") + F.col("_before")).cast("long").alias("at"))
+
+
 # --- sampling: draws are hashes of ids and the seed, so they do not depend on partitions
 
 
@@ -226,14 +252,13 @@ def sample(ds: CellDataset, n: int, replace: bool = False, seed: int = 0) -> Dat
     """``(draw, cell_id)``: n cells, possibly repeated."""
     if not replace:
         picked = ds.obs.select("cell_id", draw(seed, "cell_id").alias("_d")).orderBy("_d", "cell_id").limit(n)
-        return picked.select((F.row_number().over(Window.orderBy("_d", "cell_id")) - 1).cast("long").alias("draw"), "cell_id")
+        return picked.select((F.row_number().over(Window.orderBy("_d", "cell_id")) - 1).cast("long").alias("draw"), "cell_id")  # n rows
     spark = ds.obs.sparkSession
     size = ds.obs.count()
     if n and not size:
         raise ValueError("there are no cells to draw from")
     picks = spark.range(n).select(F.col("id").alias("draw"), (F.conv(F.substring(draw(seed, "id"), 1, 8), 16, 10).cast("long") % max(1, size)).alias("at"))
-    ranked = ds.obs.select("cell_id", (F.row_number().over(Window.orderBy("cell_id")) - 1).cast("long").alias("at"))
-    return picks.join(ranked, "at").select("draw", "cell_id")
+    return picks.join(numbered(ds.obs.select("cell_id"), "cell_id"), "at").select("draw", "cell_id")
 
 
 def downsample_counts(ds: CellDataset, counts_per_cell: int | None = None, total_counts: int | None = None, seed: int = 0, replace: bool = False) -> CellDataset:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import CellDataset
+from ..settings import settings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,10 +66,17 @@ def from_triples(x: DataFrame, obs: DataFrame | None = None, var: DataFrame | No
 
 
 def open_backed(spark: SparkSession, path: str) -> CellDataset:
-    """A dataset written by ``CellDataset.write``; rows are read in file order by whoever scans it, never by the driver."""
+    """A dataset written by ``CellDataset.write`` with all its slots; rows are read by whoever scans it, never by the driver."""
     if path.rstrip("/").endswith((".csv", ".h5ad", ".txt")):
         raise ValueError("a backed dataset is a folder of Parquet tables")
-    return CellDataset.read(spark, path)
+    fs, at = _files(spark, path)
+    if not fs.exists(at("X")) and fs.exists(at("X.old")):  # a rewriting that was cut off
+        fs.rename(at("X.old"), at("X"))
+    slots = {}
+    for slot in ("obsm", "varm", "obsp", "layers"):
+        if fs.exists(at(slot)) and (names := sorted(s.getPath().getName() for s in fs.listStatus(at(slot)))):
+            slots[slot] = tuple(names)
+    return CellDataset.read(spark, path, **slots)
 
 
 def block_size_for(n_vars: int, density: float = 1.0, max_memory_gb: float = 4.0, chunk_size: int = 0) -> int:
@@ -78,33 +87,55 @@ def block_size_for(n_vars: int, density: float = 1.0, max_memory_gb: float = 4.0
     return max(1, int(max_memory_gb * 2**30) // row)
 
 
-def row_blocks(ds: CellDataset, block_size: int) -> DataFrame:
-    """``(block, start, n_rows, n_stored)`` of consecutive blocks of cells in id order, the last one short."""
+def _placed(ds: CellDataset, block_size: int) -> DataFrame:
+    """``(cell_id, at, block)`` of every cell, by consecutive blocks in id order."""
+    from ..operators.prep import numbered
+
     if block_size < 1:
         raise ValueError("a block has one row or more")
-    from pyspark.sql import Window
+    return numbered(ds.obs.select("cell_id"), "cell_id").withColumn("block", F.expr(f"at div {int(block_size)}"))
 
-    ranked = ds.obs.select("cell_id", (F.row_number().over(Window.orderBy("cell_id")) - 1).cast("long").alias("at"))
-    placed = ranked.withColumn("block", F.expr(f"at div {int(block_size)}"))
+
+def row_blocks(ds: CellDataset, block_size: int) -> DataFrame:
+    """``(block, start, n_rows, n_stored)`` of consecutive blocks of cells in id order, the last one short."""
     stored = ds.X.groupBy("cell_id").agg(F.count("*").alias("k"))
-    return placed.join(stored, "cell_id", "left").groupBy("block").agg(F.min("at").alias("start"), F.count("*").alias("n_rows"), F.coalesce(F.sum("k"), F.lit(0)).alias("n_stored"))
+    return _placed(ds, block_size).join(stored, "cell_id", "left").groupBy("block").agg(F.min("at").alias("start"), F.count("*").alias("n_rows"), F.coalesce(F.sum("k"), F.lit(0)).alias("n_stored"))
+
+
+def blocks(ds: CellDataset, block_size: int | None = None) -> Iterator[tuple[int, int, CellDataset]]:
+    """``(start, stop, dataset of those rows)`` of consecutive blocks of cells in id order, as a reader out of memory takes them.
+
+    Without a size, blocks are as large as ``settings.max_memory_gb`` allows, or ``settings.chunk_size`` where it is set.
+    """
+    if block_size is None:
+        n_vars = ds.var.count()
+        block_size = block_size_for(n_vars, ds.density(), settings.max_memory_gb, settings.chunk_size)
+    placed, n = _placed(ds, block_size), ds.obs.count()
+    for block in range(-(-n // block_size)):
+        yield block * block_size, min(n, (block + 1) * block_size), ds.subset(obs=placed.where(F.col("block") == block))
 
 
 def rewrite_matrix(spark: SparkSession, path: str, change) -> CellDataset:
     """Replace the matrix of a dataset on disk by ``change(dataset).X``, cluster-side and without holding it anywhere.
 
-    The new version is written beside the old one and then takes its place, so a failed run leaves the old one whole. The
-    pattern of stored entries has to stay: another number of entries is an error.
+    The new version is written beside the old one; then the old one is set aside, the new one takes its place, and the old one
+    is deleted. At every moment a whole version is there: ``open_backed`` takes back one that was set aside and not replaced.
+    The pattern of stored entries has to stay: another number of entries is an error.
     """
     old = open_backed(spark, path)
-    new_path, x_path = f"{path}/X.new", f"{path}/X"
-    change(old).X.write.mode("overwrite").parquet(new_path)
-    if spark.read.parquet(new_path).count() != old.X.count():
+    change(old).X.write.mode("overwrite").parquet(f"{path}/X.new")
+    if spark.read.parquet(f"{path}/X.new").count() != old.X.count():
         raise ValueError("the number of stored entries has changed")
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(x_path)
-    fs = target.getFileSystem(conf)
-    fs.delete(target, True)
-    if not fs.rename(jvm.org.apache.hadoop.fs.Path(new_path), target):
-        raise OSError(f"{new_path} could not take the place of {x_path}")
+    fs, at = _files(spark, path)
+    fs.delete(at("X.old"), True)
+    for one, other in (("X", "X.old"), ("X.new", "X")):
+        if not fs.rename(at(one), at(other)):
+            raise OSError(f"{path}/{one} could not be renamed")
+    fs.delete(at("X.old"), True)
     return open_backed(spark, path)
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a folder, and paths below it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    return jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf), lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
