@@ -97,9 +97,31 @@ def rank_genes_t_test_overestim(spark, d):
     return _t(spark, d, True)
 
 
-@query()
+# Two-sided p-values of t by the continued fraction of the incomplete beta function (modified Lentz), a fixed number of steps.
+T_P = """
+tt AS (SELECT grp, gene_id, CASE WHEN a + b > 0 THEN (m1 - m2) / sqrt(a + b) ELSE 0 END AS score, m1, m2,
+  CASE WHEN a * a / (n1 - 1) + b * b / (k2 - 1) > 0 THEN (a + b) * (a + b) / (a * a / (n1 - 1) + b * b / (k2 - 1)) ELSE 1 END AS df FROM tv),
+bx AS (SELECT *, df / (df + score * score) AS x, df / 2 AS half FROM tt),
+ba AS (SELECT *, x < (half + 1) / (half + 2.5) AS direct, exp(lgamma(half + 0.5) - lgamma(half) - lgamma(0.5) + half * ln(x) + 0.5 * ln(1 - x)) AS front FROM bx WHERE score <> 0),
+cf(grp, gene_id, p, q, x, i, c, d, h) AS (
+  SELECT grp, gene_id, p, q, x, 0, CAST(1 AS DOUBLE), 1 / (1 - (p + q) * x / (p + 1)), 1 / (1 - (p + q) * x / (p + 1))
+  FROM (SELECT grp, gene_id, CASE WHEN direct THEN half ELSE 0.5 END AS p, CASE WHEN direct THEN 0.5 ELSE half END AS q, CASE WHEN direct THEN x ELSE 1 - x END AS x FROM ba)
+  UNION ALL
+  SELECT grp, gene_id, p, q, x, i, c2, d2, h * d1 * c1 * d2 * c2 FROM (
+    SELECT *, 1 / (1 + odd * d1) AS d2, 1 + odd / c1 AS c2 FROM (
+      SELECT *, 1 / (1 + even * d) AS d1, 1 + even / c AS c1 FROM (
+        SELECT grp, gene_id, p, q, x, i + 1 AS i, c, d, h, (i + 1) * (q - i - 1) * x / ((p + 2 * i + 1) * (p + 2 * i + 2)) AS even, -(p + i + 1) * (p + q + i + 1) * x / ((p + 2 * i + 2) * (p + 2 * i + 3)) AS odd
+        FROM cf WHERE i < 120)))),
+pv AS (SELECT tt.grp, tt.gene_id, tt.score, tt.m1, tt.m2, CASE WHEN tt.score = 0 THEN 1.0 WHEN direct THEN front * h / half ELSE 1 - front * h / 0.5 END AS pval
+  FROM tt LEFT JOIN ba USING (grp, gene_id) LEFT JOIN (SELECT grp, gene_id, h FROM cf WHERE i = 120) USING (grp, gene_id))"""
+
+
+@query(
+    with_(WIDE, NORMED, LABELS, GROUPS, _welch("(n_all - n)").split("\nSELECT")[0], T_P, _bh("pv"), f'SELECT grp AS "group", gene_id, {rs("score", "score")}, {rs(LFC.format(a="m1", b="m2"), "logfoldchange")}, {rs("pval", "pval")}, {rs("pval_adj", "pval_adj")} FROM adj', recursive=True)
+)
 def rank_genes_t_test_pvalues(spark, d):
-    return de_out(de.rank_genes_groups(logged(src.wide_dataset(spark, d)), "grp", method="t-test"))
+    got = de.rank_genes_groups(logged(src.wide_dataset(spark, d)), "grp", method="t-test")
+    return got.select("group", "gene_id", r("score"), r("logfoldchange"), r("pval"), r("pval_adj"))
 
 
 @query()
@@ -119,6 +141,13 @@ def filter_rank_genes(spark, d):
     return de.filter_rank_genes_groups(ds, de.wilcoxon(ds, "grp"), "grp", 0.02, 0.5, 0.2).select("group", "gene_id", F.coalesce("name", F.lit(-1)).alias("name"))
 
 
+@query(with_(*WILCOXON, f"""SELECT grp AS "group", gene_id, CASE WHEN k / n > 0.02 AND (tk - k) / (n_all - n) < 0.5 AND {LFC.format(a="s1 / n", b="(t1 - s1) / (n_all - n)")} > 0.3 THEN gene_id ELSE -1 END AS name FROM adj JOIN (SELECT grp, gene_id, k, n, tk, n_all, s1, t1 FROM mo) USING (grp, gene_id)""".replace("FROM adj JOIN", "FROM (SELECT grp, gene_id FROM adj) JOIN")))
+def filter_rank_genes_own_folds(spark, d):
+    ds = logged(src.wide_dataset(spark, d))
+    scores = de.wilcoxon(ds, "grp").select("group", "gene_id", "score")  # a table without fold changes
+    return de.filter_rank_genes_groups(ds, scores, "grp", 0.02, 0.5, 0.3, own_folds=True).select("group", "gene_id", F.coalesce("name", F.lit(-1)).alias("name"))
+
+
 @query(
     with_(
         *WILCOXON,

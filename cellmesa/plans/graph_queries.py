@@ -23,6 +23,9 @@ mb AS (SELECT src, dst, CASE WHEN dist <= rho OR sigma = 0 THEN 1.0 ELSE exp(-(d
 bo AS (SELECT src, dst, w FROM mb WHERE w > 0 UNION ALL SELECT dst, src, w FROM mb WHERE w > 0),
 g AS (SELECT src, dst, CASE WHEN count(*) = 1 THEN max(w) ELSE max(w) + min(w) - max(w) * min(w) END AS weight FROM bo GROUP BY 1, 2)"""
 GRAPH = [E, KNN, FUZZY]
+PAGA = """ct AS (SELECT a.label AS g1, b.label AS g2, count(*) AS c FROM kn JOIN e a ON a.id = src JOIN e b ON b.id = dst GROUP BY 1, 2),
+eg AS (SELECT g1 AS label, sum(c) AS e FROM ct GROUP BY 1), ns AS (SELECT label, count(*) AS n FROM e GROUP BY 1), tt AS (SELECT count(*) AS t FROM e),
+ob AS (SELECT g1, g2, sum(c) AS seen FROM (SELECT g1, g2, c FROM ct UNION ALL SELECT g2, g1, c FROM ct) WHERE g1 <> g2 GROUP BY 1, 2)"""
 
 
 def points(spark, d):
@@ -64,9 +67,7 @@ def modularity(spark, d):
     with_(
         E,
         KNN,
-        """ct AS (SELECT a.label AS g1, b.label AS g2, count(*) AS c FROM kn JOIN e a ON a.id = src JOIN e b ON b.id = dst GROUP BY 1, 2),
-eg AS (SELECT g1 AS label, sum(c) AS e FROM ct GROUP BY 1), ns AS (SELECT label, count(*) AS n FROM e GROUP BY 1), tt AS (SELECT count(*) AS t FROM e),
-ob AS (SELECT g1, g2, sum(c) AS seen FROM (SELECT g1, g2, c FROM ct UNION ALL SELECT g2, g1, c FROM ct) WHERE g1 <> g2 GROUP BY 1, 2)""",
+        PAGA,
         f"""SELECT g1, g2, {rs("least(1.0, seen / ((ei.e * nj.n + ej.e * ni.n) / (t - 1)))", "connectivity")} FROM ob JOIN eg ei ON ei.label = g1 JOIN eg ej ON ej.label = g2
  JOIN ns ni ON ni.label = g1 JOIN ns nj ON nj.label = g2 CROSS JOIN tt""",
     )
@@ -75,9 +76,22 @@ def paga_connectivities(spark, d):
     return graph.paga(graph.knn(points(spark, d)).select("src", "dst", F.col("dist").alias("weight")), labels(spark, d)).select("g1", "g2", r("connectivity"))
 
 
-@query()
+@query(
+    with_(
+        E,
+        KNN,
+        PAGA,
+        """cn AS (SELECT g1, g2, least(1.0, seen / ((ei.e * nj.n + ej.e * ni.n) / (t - 1))) AS connectivity FROM ob JOIN eg ei ON ei.label = g1 JOIN eg ej ON ej.label = g2
+  JOIN ns ni ON ni.label = g1 JOIN ns nj ON nj.label = g2 CROSS JOIN tt),
+un AS (SELECT *, row_number() OVER (ORDER BY connectivity DESC, g1, g2) AS r FROM cn WHERE g1 < g2),
+reach(r, node) AS (SELECT r, g1 FROM un UNION SELECT reach.r, CASE WHEN u.g1 = node THEN u.g2 ELSE u.g1 END FROM reach JOIN un u ON u.r < reach.r AND (u.g1 = node OR u.g2 = node))""",
+        f"SELECT g1, g2, {rs('connectivity', 'connectivity')} FROM un WHERE NOT EXISTS (SELECT 1 FROM reach WHERE reach.r = un.r AND node = un.g2)",
+        recursive=True,
+    )
+)
 def paga_tree(spark, d):
-    return graph.spanning_forest(graph.paga(graph.knn(points(spark, d)).select("src", "dst", F.col("dist").alias("weight")), labels(spark, d)))
+    tree = graph.spanning_forest(graph.paga(graph.knn(points(spark, d)).select("src", "dst", F.col("dist").alias("weight")), labels(spark, d)))
+    return tree.select("g1", "g2", r("connectivity"))
 
 
 AUTO = """x AS (SELECT id AS cell_id, CAST(unnest(range(len(v))) AS BIGINT) AS gene_id, unnest(v) AS value FROM e),
@@ -115,6 +129,32 @@ def diffmap(spark, d):
     return graph.diffmap(fuzzy(spark, d), 15)
 
 
+@query("SELECT CAST(i AS INTEGER) AS component, true AS solves, true AS of_unit_length FROM range(15) t(i)")
+def diffmap_equations(spark, d):
+    """Whether each component is an eigenvector of the transition operator for its eigenvalue."""
+    return _solved(fuzzy(spark, d), 15)
+
+
+def _solved(edges, n, **options):
+    found, t = graph.diffmap(edges, n, **options), graph.transitions(edges)
+    long = found.select("cell_id", F.posexplode(F.arrays_zip("vec", "evals")).alias("component", "z")).select("cell_id", "component", F.col("z.vec").alias("v"), F.col("z.evals").alias("l"))
+    times = t.join(long.select(F.col("cell_id").alias("dst"), "component", "v"), "dst").groupBy(F.col("src").alias("cell_id"), "component").agg(F.sum(F.col("weight") * F.col("v")).alias("tv"))
+    met = long.join(times, ["cell_id", "component"]).groupBy("component")
+    return met.agg((F.max(F.abs(F.col("tv") - F.col("l") * F.col("v"))) < 1e-7).alias("solves"), (F.abs(F.sum(F.col("v") * F.col("v")) - 1) < 1e-7).alias("of_unit_length"))
+
+
+@query("SELECT CAST(i AS INTEGER) AS component, true AS solves, true AS of_unit_length FROM range(8) t(i)")
+def diffmap_by_products(spark, d):
+    """The same for the form that large graphs take, which only forms products with the operator."""
+    return _solved(fuzzy(spark, d), 8, dense=0)
+
+
+@query("SELECT count(*) AS n_cells, true AS starts_at_root, true AS ends_at_one FROM embeddings")
+def dpt_range(spark, d):
+    found = graph.dpt(graph.diffmap(fuzzy(spark, d), 15), 0)
+    return found.agg(F.count("*").alias("n_cells"), (F.max(F.when(F.col("cell_id") == 0, F.col("pseudotime"))) == 0).alias("starts_at_root"), (F.abs(F.max("pseudotime") - 1) < 1e-12).alias("ends_at_one"))
+
+
 @query()
 def dpt_pseudotime(spark, d):
     return graph.dpt(graph.diffmap(fuzzy(spark, d), 15), 0)
@@ -135,6 +175,27 @@ def louvain(spark, d):
     return kernels.louvain(fuzzy(spark, d))
 
 
+def _quality(edges, found, names):
+    """Cells, whether labels are numbered by size, and whether the partition beats the given labels' modularity."""
+    sizes = found.groupBy("label").agg(F.count("*").alias("n")).agg(F.array_sort(F.collect_list(F.struct(F.col("label").cast("int").alias("l"), "n"))).alias("s"))
+    falls = sizes.select(F.forall(F.sequence(F.lit(1), F.size("s")), lambda i: F.coalesce(F.get("s", i)["n"] <= F.get("s", i - 1)["n"], F.lit(True)) & (F.get("s", i - 1)["l"] == i - 1)).alias("by_size"))
+    both = [graph.modularity(graph.symmetrised(edges), x).select(F.col("modularity").alias(n)) for x, n in ((found, "a"), (names, "b"))]
+    return found.agg(F.count("*").alias("n_cells")).crossJoin(falls).crossJoin(both[0]).crossJoin(both[1]).select("n_cells", "by_size", (F.col("a") >= F.col("b")).alias("no_worse_than_labels"))
+
+
+PARTITION = "SELECT count(*) AS n_cells, true AS by_size, true AS no_worse_than_labels FROM embeddings"
+
+
+@query(PARTITION)
+def leiden_quality(spark, d):
+    return _quality(fuzzy(spark, d), kernels.leiden(fuzzy(spark, d)), labels(spark, d))
+
+
+@query(PARTITION)
+def louvain_quality(spark, d):
+    return _quality(fuzzy(spark, d), kernels.louvain(fuzzy(spark, d)), labels(spark, d))
+
+
 TWO = "p AS (SELECT id, label, v[1] AS x, v[2] AS y FROM e)"
 
 
@@ -215,6 +276,20 @@ for _name, _expr in {"count_nonzero": "count(*) FILTER (WHERE value <> 0)", "mea
     query(_sql, f"aggregate_{_name}")(_aggregate)
 
 
+@query(with_(COMPACT, "full_ AS (SELECT grp || '_' || batch AS grp, gene_id, coalesce(value, 0) AS value FROM obs CROSS JOIN var LEFT JOIN x USING (cell_id, gene_id))", f'SELECT grp AS "group", gene_id, count(*) AS n_obs_aggregated, {rs("sum(value)", "sum")}, {rs("var_samp(value)", "var")} FROM full_ GROUP BY 1, 2'))
+def aggregate_by_two_columns(spark, d):
+    got = access.aggregate(src.compact_dataset(spark, d), ["grp", "batch"], ["sum", "var"])
+    return got.select("group", "gene_id", "n_obs_aggregated", r("sum"), r("var"))
+
+
+@query(with_(WIDE, "lg AS (SELECT cell_id, gene_id, ln(1 + value) AS value FROM x), gs AS (SELECT p_brand, count(*) AS n FROM var GROUP BY 1), s AS (SELECT p_brand, cell_id, sum(value) AS s, count(*) AS k FROM lg JOIN var USING (gene_id) GROUP BY 1, 2)", f'SELECT p_brand AS "group", cell_id, n AS n_obs_aggregated, {rs("coalesce(s, 0) / n", "mean")}, coalesce(k, 0) AS count_nonzero FROM gs CROSS JOIN obs LEFT JOIN s USING (p_brand, cell_id)'))
+def aggregate_genes_of_a_layer(spark, d):
+    ds = src.wide_dataset(spark, d)
+    ds = ds.with_(layers={"logged": prep.log1p(ds).X})
+    got = access.aggregate(ds, "p_brand", ["mean", "count_nonzero"], axis=1, layer="logged")
+    return got.select("group", "cell_id", "n_obs_aggregated", r("mean"), "count_nonzero")
+
+
 # --- linear algebra and batches
 
 
@@ -228,6 +303,34 @@ def pca_scores(spark, d):
     return linalg.pca(logged(src.compact_dataset(spark, d)), 10)[0]
 
 
+CENTRED = "full_ AS (SELECT cell_id, gene_id, coalesce(value, 0) AS value FROM obs CROSS JOIN var LEFT JOIN lx USING (cell_id, gene_id)), ct AS (SELECT cell_id, gene_id, value - avg(value) OVER (PARTITION BY gene_id) AS value FROM full_)"
+
+
+@query(with_(COMPACT, NORMED, CENTRED, f"SELECT cell_id, {rs('sum(value * value)', 'squared_length')} FROM ct GROUP BY 1"))
+def pca_lengths(spark, d):
+    """With as many components as genes, a cell's scores are as long as its centred values."""
+    ds = logged(src.compact_dataset(spark, d))
+    scores = linalg.pca(ds, ds.var.count())[0]
+    return scores.select("cell_id", F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x).alias("squared_length")).select("cell_id", r("squared_length"))
+
+
+@query(with_(COMPACT, NORMED, CENTRED, "cv AS (SELECT a.gene_id AS g1, b.gene_id AS g2, sum(a.value * b.value) / (max(n) - 1) AS c FROM ct a JOIN ct b USING (cell_id) CROSS JOIN nc GROUP BY 1, 2)", f"SELECT {rs('sum(c) FILTER (WHERE g1 = g2)', 'sum_of_variances')}, {rs('sum(c * c)', 'sum_of_squares', 5)} FROM cv"))
+def pca_spectrum(spark, d):
+    """The variances add up to the covariance's trace, and their squares to those of its entries."""
+    ds = logged(src.compact_dataset(spark, d))
+    found = linalg.pca(ds, ds.var.count())[2]["variance"]
+    return spark.createDataFrame([(sum(found), sum(v * v for v in found))], "sum_of_variances double, sum_of_squares double").select(r("sum_of_variances"), r("sum_of_squares", 5))
+
+
+@query("SELECT CAST(i AS INTEGER) AS component, true AS same_variance FROM range(5) t(i)")
+def pca_by_products(spark, d):
+    """The form for many genes, which only forms products with the covariance, finds what its decomposition does."""
+    ds = logged(src.wide_dataset(spark, d))
+    ds = ds.subset(var=ds.var.where("p_size <= 8"))
+    whole, products = (linalg.pca(ds, 5, most_genes=most)[2]["variance"] for most in (linalg.MOST_GENES, 0))
+    return spark.createDataFrame([(i, abs(a - b) <= 1e-9 * a) for i, (a, b) in enumerate(zip(whole, products, strict=True))], "component int, same_variance boolean")
+
+
 @query()
 def pca_variance_ratio(spark, d):
     info = linalg.pca(logged(src.compact_dataset(spark, d)), 10)[2]

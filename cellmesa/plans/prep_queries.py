@@ -154,6 +154,15 @@ def scale_uncentered(spark, d):
     return prep.scale(src.compact_dataset(spark, d), zero_center=False, max_value=2.0).X.select("cell_id", "gene_id", r("value"))
 
 
+CLIPPED = "greatest(-2.0, least(2.0, ({} - mean) / sd))"
+
+
+@query(with_(*SCALED, f"SELECT cell_id, gene_id, {rs(CLIPPED.format('value'), 'value')}, {rs(CLIPPED.format('0'), 'offset')} FROM x JOIN sc USING (gene_id)"))
+def scale_implicit(spark, d):
+    got = prep.scale_sparse(src.compact_dataset(spark, d), 2.0)
+    return got.X.join(got.var, "gene_id").select("cell_id", "gene_id", (F.col("value") + F.col("offset")).alias("value"), "offset").select("cell_id", "gene_id", r("value"), r("offset"))
+
+
 @query(with_(WIDE, "SELECT cell_id FROM obs ORDER BY md5('3-' || cell_id), cell_id LIMIT (SELECT CAST(floor(n * 0.3) AS BIGINT) FROM nc)"))
 def subsample(spark, d):
     return prep.subsample(src.wide_dataset(spark, d), fraction=0.3, seed=3).obs.select("cell_id")
