@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 from cellmesa.llm import chat, embeddings, licenses, urls, warc
+from pyspark.sql import functions as F
 
 
 # --- WARC
@@ -384,13 +385,45 @@ def test_licences(spark, model):
     assert licenses.scan(df.limit(0), model).count() == 0
 
 
-def test_held_out_accuracy(spark, model):
-    from pyspark.sql import functions as F
+def test_accuracy_on_phrases_that_the_fit_has_not_seen(spark):
+    seen, told = licenses.held_out(spark)
+    families = [x for x in told if x[0] != licenses.UNKNOWN]
+    assert sum(f == likely and p > 0.5 for f, likely, p in families) >= 0.9 * len(families) and len(families) > 300
+    assert not [x for x in told if x[0] == licenses.UNKNOWN and x[1] != licenses.UNKNOWN and x[2] > 0.5]
+    rows = licenses.examples(spark).collect()
+    assert not {r.text.lower() for r in rows if r.fold == 0} & {r.text.lower() for r in rows if r.fold}
 
-    rows = licenses.examples(spark).where("fold = 0").select("family", licenses.best(model, licenses.words_of(F.col("text"))).alias("b"))
-    got = [(r.family, r.b.family if r.b.p > model.threshold else licenses.UNKNOWN) for r in rows.collect()]
-    assert sum(a == b for a, b in got) >= 0.95 * len(got)
-    assert all(b == licenses.UNKNOWN for a, b in got if a == licenses.UNKNOWN)
+
+def test_scores_equal_a_softmax_over_lists(spark, model):
+    """The scorer's columns against the same sums in plain Python."""
+    texts = ["Licensed under the MIT License.", "Not licensed under the GPL-3.0 license, version 2.", "words without any", "", "the license of the Apache License, Version 2.0 is not the MIT license", "GNU  gpl\tversion 2 or CC0"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.select("i", licenses.best(model, licenses.words_of(F.col("t"))).alias("b"), licenses.containment(licenses.words_of(F.col("t")), F.lit("mit")).alias("c")).orderBy("i").collect()
+    for text, r in zip(texts, got, strict=True):
+        words = [w for w in re.split(r"[^\w.]+|\.+(?=\D|$)", text.lower()) if w]
+        grams = {" ".join(words[k : k + n]) for n in (1, 2, 3) for k in range(len(words) - n + 1) if any(re.search(licenses.FEATURE_WORD, w) for w in words[k : k + n])}
+        grams |= {"!"} if re.search(licenses.DENIED, " ".join(words)) else set()
+        logits = np.array(model.intercepts) + sum((np.array(model.weights[g]) for g in grams if g in model.weights), np.zeros(len(model.families)))
+        p = np.exp(logits) / np.exp(logits).sum()
+        assert r.b.family == model.families[int(p.argmax())] and abs(r.b.p - p.max()) < 1e-9
+        assert abs(r.c - max(len(set(words) & licenses._template_words(t)) / len(licenses._template_words(t)) for t in licenses.TEMPLATES["mit"])) < 1e-12
+
+
+def test_short_forms_and_denials(spark, model):
+    texts = [
+        ("Distributed under GPL-3.0.", "gpl-3.0"),
+        ("SPDX: AGPL-3.0-only", "agpl-3.0"),
+        ("License: MIT", "mit"),
+        ("Released under the ISC License.", "isc"),
+        ("GNU General Public License, version 2", "gpl-2.0"),
+        ("# SPDX-License-Identifier: Apache-2.0", "apache-2.0"),
+        ("Not licensed under the MIT License.", None),
+        ("The code is not released under the Apache License, Version 2.0.", None),
+        ("She renewed her licence at MIT in 2020.", None),
+        ("We are committed to open source; the license plate was stolen.", None),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.license for r in licenses.scan(df, model).collect()} == {i: f for i, (_, f) in enumerate(texts)}
 
 
 def test_wrapped_licences(spark, model):
@@ -424,10 +457,10 @@ modification, are permitted provided that the following conditions are met:
 """
     comment = lambda t, mark: "\r\n".join(f"{mark} {x}".rstrip() for x in t.split("\n"))
     texts = [
-        (mit, ["mit"], 2),
+        (mit, ["mit"], 3),  # its heading, the grant and the condition
         (bsd, ["bsd-3-clause"], 2),
         (gpl, ["gpl-3.0"], 1),
-        (comment(mit, " *"), ["mit"], 2),
+        (comment(mit, " *"), ["mit"], 3),
         (comment(bsd, "#"), ["bsd-3-clause"], 2),
         (comment(gpl, "//"), ["gpl-3.0"], 1),
         (licenses.TEMPLATES["gpl-3.0"][1].replace(" ", "\n"), ["gpl-3.0"], 1),
@@ -441,8 +474,6 @@ modification, are permitted provided that the following conditions are met:
 
 
 def test_cues_in_any_spelling(spark, model):
-    from pyspark.sql import functions as F
-
     spellings = (lambda t: t, lambda t: t.replace(" ", "-"), lambda t: t.replace(" ", "\t"), lambda t: t.replace("CC BY", "CC-BY"), lambda t: t.replace(" ", "\u00a0"), lambda t: t.replace(" ", "\n"), str.upper)
     rows = [(100 * i + k, f(t)) for i, t in enumerate(t for texts in licenses.TEMPLATES.values() for t in texts) for k, f in enumerate(spellings)]
     more = {-1: ("Content is available under CC-BY-SA 4.0 unless otherwise noted.", ["cc-by-sa-4.0"]), -2: ("Released under CC-BY-NC 4.0 for noncommercial use.", ["cc-by-nc-4.0"]), -3: ("Accounts of a summit in the commonwealth of submitted domains.", [])}
