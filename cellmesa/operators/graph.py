@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -203,6 +204,37 @@ def spanning_forest(table: DataFrame, most: int = 3_000) -> DataFrame:
 # --- autocorrelation
 
 
+def _products_over_edges(graph: DataFrame, x: DataFrame) -> DataFrame:
+    """``(gene_id, xx)``: sums over edges of the weight times the values at both ends. An edge meets its ends' entries as two
+    lists, so it is one row however many features there are; tasks add up per feature."""
+    cells = x.groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("gene_id", "value"))).alias("e"))
+    cells = cells.select("cell_id", F.col("e.gene_id").alias("g"), F.col("e.value").alias("v"))
+    ends = graph.join(cells.select(F.col("cell_id").alias("src"), F.col("g").alias("ga"), F.col("v").alias("va")), "src").join(cells.select(F.col("cell_id").alias("dst"), F.col("g").alias("gb"), F.col("v").alias("vb")), "dst")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        genes, sums = np.empty(0, np.int64), np.empty(0)
+        for batch in batches:
+            weight = batch.column(0).to_numpy(zero_copy_only=False)
+            lists = []
+            for g, v in ((1, 2), (3, 4)):
+                sizes = pc.list_value_length(batch.column(g)).to_numpy(zero_copy_only=False).astype(np.int64)
+                lists.append((np.repeat(np.arange(len(sizes)), sizes), batch.column(g).flatten().to_numpy(), batch.column(v).flatten().to_numpy(zero_copy_only=False)))
+            named, place = np.unique(np.concatenate([lists[0][1], lists[1][1]]), return_inverse=True)
+            n, m = len(named), len(lists[0][1])
+            a, b = lists[0][0] * n + place[:m], lists[1][0] * n + place[m:]  # increasing: by edge, then by feature
+            at = np.searchsorted(b, a)
+            both = np.flatnonzero(np.append(b, -1)[at] == a)
+            part = np.bincount(place[:m][both], weight[lists[0][0][both]] * lists[0][2][both] * lists[1][2][at[both]], n)
+            merged = np.union1d(genes, named)
+            total = np.zeros(len(merged))
+            total[np.searchsorted(merged, genes)] = sums
+            total[np.searchsorted(merged, named)] += part
+            genes, sums = merged, total
+        yield pa.RecordBatch.from_arrays([pa.array(genes, pa.int64()), pa.array(sums, pa.float64())], names=["gene_id", "xx"])
+
+    return ends.select("weight", "ga", "va", "gb", "vb").mapInArrow(work, "gene_id long, xx double").groupBy("gene_id").agg(F.sum("xx").alias("xx"))
+
+
 def _autocorrelation(graph: DataFrame, x: DataFrame, obs: DataFrame) -> DataFrame:
     """Per feature: n, W, sum of squares about the mean, z'Gz and the degree-weighted squares, from stored entries alone."""
     n = scalar(obs.agg(F.count("*").alias("n")))
@@ -212,9 +244,7 @@ def _autocorrelation(graph: DataFrame, x: DataFrame, obs: DataFrame) -> DataFram
     per = x.join(degree, "cell_id", "left").fillna(0.0, ["deg"]).groupBy("gene_id").agg(
         F.sum("value").alias("s1"), F.sum(F.col("value") * F.col("value")).alias("s2"), F.sum(F.col("value") * F.col("deg")).alias("d1"), F.sum(F.col("value") * F.col("value") * F.col("deg")).alias("d2")
     )
-    a = x.select(F.col("cell_id").alias("src"), "gene_id", F.col("value").alias("va"))
-    b = x.select(F.col("cell_id").alias("dst"), "gene_id", F.col("value").alias("vb"))
-    cross = graph.join(a, "src").join(b, ["dst", "gene_id"]).groupBy("gene_id").agg(F.sum(F.col("weight") * F.col("va") * F.col("vb")).alias("xx"))
+    cross = _products_over_edges(graph, x)
     met = per.join(cross, "gene_id", "left").fillna(0.0, ["xx"]).crossJoin(n).crossJoin(total).withColumn("m", F.col("s1") / F.col("n"))
     m = F.col("m")
     return met.select(

@@ -281,6 +281,8 @@ def downsample_counts(ds: CellDataset, counts_per_cell: int | None = None, total
         thinned = hit.groupBy("a.cell_id", "a.gene_id").agg(F.count("*").cast("double").alias("value"))
         kept = ends.where(F.col("total") <= target).where("value <> 0").select("cell_id", "gene_id", "value")
         return ds.with_(X=thinned.unionByName(kept))
+    if total_counts is not None:
+        return ds.with_(X=_thinned_whole(x, target, seed))
     total = F.sum("value").over(Window.partitionBy(*key))
     summed = x.withColumn("_t", total)
     slots = summed.where(F.col("_t") > target).where("value > 0").withColumn("j", F.explode(F.sequence(F.lit(1), F.col("value").cast("int"))))
@@ -288,3 +290,28 @@ def downsample_counts(ds: CellDataset, counts_per_cell: int | None = None, total
     thinned = slots.withColumn("_r", first).where(F.col("_r") <= target).groupBy("cell_id", "gene_id").agg(F.count("*").cast("double").alias("value"))
     kept = summed.where(F.col("_t") <= target).where("value <> 0").select("cell_id", "gene_id", "value")
     return ds.with_(X=thinned.unionByName(kept))
+
+
+#: Hexadecimal digits of a slot's hash by which slots are first counted.
+PREFIX = 4
+
+
+def _thinned_whole(x: DataFrame, target: int, seed: int) -> DataFrame:
+    """The entries of a matrix thinned to ``target`` counts in all: the slots with the smallest hashes stay.
+
+    Slots are counted by the first digits of their hash, which tells where the last one that stays lies; only slots that share
+    those digits with it are put in order.
+    """
+    all_ = scalar(x.agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("_all")))
+    met = x.crossJoin(all_)
+    slots = met.where((F.col("_all") > target) & (F.col("value") > 0)).select("cell_id", "gene_id", F.explode(F.sequence(F.lit(1), F.col("value").cast("int"))).alias("j"))
+    hashed = slots.withColumn("_h", draw(seed, "cell_id", "gene_id", "j")).withColumn("_p", F.substring("_h", 1, PREFIX))
+    sizes = hashed.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_upto", F.sum("_n").over(Window.orderBy("_p")))  # 16 ** PREFIX rows
+    last = scalar(sizes.where((F.col("_upto") >= target) & (F.col("_upto") - F.col("_n") < target)).select(F.col("_p").alias("_last"), (target - F.col("_upto") + F.col("_n")).alias("_left")))
+    placed = hashed.crossJoin(last)
+    below = placed.where("_p < _last").select("cell_id", "gene_id")
+    order = F.row_number().over(Window.orderBy("_h", "cell_id", "gene_id", "j"))
+    within = placed.where("_p = _last").withColumn("_r", order).where("_r <= _left").select("cell_id", "gene_id")
+    thinned = below.unionByName(within).groupBy("cell_id", "gene_id").agg(F.count("*").cast("double").alias("value"))
+    kept = met.where((F.col("_all") <= target) & (F.col("value") != 0)).select("cell_id", "gene_id", "value")
+    return thinned.unionByName(kept)

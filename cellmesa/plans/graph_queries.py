@@ -427,3 +427,11 @@ def stream_gene_moments(spark, d):
     from ..streaming import incremental
 
     return incremental.drained(incremental.gene_moments(incremental.event_stream(spark, d)), "gene_moments").select("gene", "n", r("mean"), r("var"))
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type AS gene, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_windowed_totals(spark, d):
+    from ..streaming import incremental
+
+    got = incremental.drained(incremental.windowed_totals(incremental.event_stream(spark, d)), "windowed_totals")
+    return got.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "gene", "n")

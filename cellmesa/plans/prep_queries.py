@@ -192,6 +192,18 @@ def downsample_cell(spark, d):
     return prep.downsample_counts(src.wide_dataset(spark, d), counts_per_cell=300, seed=5).X
 
 
+@query(
+    with_(
+        WIDE,
+        "en AS (SELECT cell_id, gene_id, value, sum(value) OVER (PARTITION BY cell_id ORDER BY gene_id) - value AS lo, sum(value) OVER (PARTITION BY cell_id) AS total FROM x)",
+        "pk AS (SELECT cell_id, CAST('0x' || substr(md5('5-' || cell_id || '-' || j), 1, 12) AS BIGINT) / 281474976710656.0 * total AS u FROM (SELECT DISTINCT cell_id, total FROM en WHERE total > 300), range(1, 301) t(j))",
+        "SELECT cell_id, gene_id, CAST(count(*) AS DOUBLE) AS value FROM en JOIN pk USING (cell_id) WHERE u >= lo AND u < lo + value GROUP BY 1, 2 UNION ALL SELECT cell_id, gene_id, value FROM en WHERE total <= 300 AND value <> 0",
+    )
+)
+def downsample_with_replacement(spark, d):
+    return prep.downsample_counts(src.wide_dataset(spark, d), counts_per_cell=300, seed=5, replace=True).X
+
+
 @query(_thin("", 20000, True))
 def downsample_total(spark, d):
     return prep.downsample_counts(src.wide_dataset(spark, d), total_counts=20000, seed=5).X

@@ -6,6 +6,9 @@ own variance buffers (Chan et al.), so the result does not depend on how the str
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,9 +48,13 @@ def windowed_totals(events: DataFrame, width: str = "1 hour", late: str = "2 hou
 
 
 def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there now, and read what it has written last."""
+    """Run a stream over all that is there now, and read what it has written last, from the shared folder (on a local master
+    without one, a temporary one)."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    base = base or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", uuid.uuid4().hex)
     path = f"{base.rstrip('/')}/cellmesa/{name}-{uuid.uuid4().hex}"
     schema = stream.schema
 

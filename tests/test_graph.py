@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from cellmesa import metrics
 from cellmesa.operators import access, batch, graph, kernels, linalg
 from pyspark.sql import functions as F
 
@@ -140,6 +141,38 @@ def test_branches_of_a_star(spark):
     assert len(tips) == 3
 
 
+@pytest.mark.parametrize("shift", [True, False])
+def test_claims_follow_rank_correlations(shift):
+    rng = np.random.RandomState(4)
+    for n in (3, 11, 12, 30, 47):
+        a, b = rng.normal(size=(2, n))
+        a[: n // 2] = np.sort(a[: n // 2])
+        b[: n // 2] = np.sort(b[: n // 2])
+        tau = lambda x, y: np.mean([np.sign(x[i] - x[j]) * np.sign(y[i] - y[j]) for i in range(len(x)) for j in range(i)])
+        if n < 12:
+            assert kernels._claimed(a, b, shift) == min(n, 6)
+            continue
+        score = {k: tau(a[:k], b[:k]) - tau(a[k:], b[k:]) for k in range(6, n - 5)}
+        best = max(score, key=score.get)
+        assert kernels._claimed(a, b, shift) == (int(0.95 * (best - 1)) if shift and best - 1 > 0.95 * n else best)
+
+
+def test_segments_of_arms():
+    rng = np.random.RandomState(0)
+    arm = np.repeat([0, 1, 2], 60)
+    angle = np.array([0, 2.1, 4.2])[arm]
+    x = np.tile(np.linspace(0.02, 1, 60), 3)[:, None] * np.stack([np.cos(angle), np.sin(angle)], 1) + rng.normal(size=(180, 2)) * 0.01
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    found = kernels.branches(d, 0, 1, 3)
+    assert len(set(found)) >= 3 and all(np.bincount(found[arm == k]).max() >= 55 for k in range(3))
+    assert len({np.bincount(found[arm == k]).argmax() for k in range(3)}) == 3
+    again = kernels.branches(d, 0, 3, 3)
+    assert len(set(again)) > len(set(found))
+    # too few cells, a least size that no segment has, cells in one place
+    assert set(kernels.branches(d[:2, :2], 0, 2, 0)) == {0} and set(kernels.branches(d, 0, 2, 180)) == {0} and set(kernels.branches(np.zeros((20, 20)), 0, 1, 0)) == {0}
+    assert len(kernels.branches(d[:9, :9], 0, 3, 0)) == 9
+
+
 def test_density_and_dendrogram(spark):
     a = np.random.RandomState(2).normal(size=(30, 2))
     got = graph.embedding_density(points(spark, a, g=["x"] * 15 + ["y"] * 15), "g").collect()
@@ -160,6 +193,9 @@ def test_confusion(spark):
     got = {(r.row, r.column): r.value for r in graph.confusion_matrix(df, "x", "y").collect()}
     assert len(got) == 9 and got[("a", "a")] == 0.5 and got[("b", "c")] == 1 and got[("c", "a")] == 0
     assert graph.natural_order(["g10", "g2", "g1"]) == ["g1", "g2", "g10"]
+    df = spark.createDataFrame([("g10", "x2"), ("g2", "x10"), ("g2", "x2"), ("g1", "x2")], "a string, b string")
+    wide = metrics.confusion_matrix("a", "b", df, wide=True, normalize=False)
+    assert wide.columns == ["row", "x2", "x10"] and [tuple(r) for r in wide.collect()] == [("g1", 1.0, 0.0), ("g2", 1.0, 1.0), ("g10", 1.0, 0.0)]
 
 
 def test_layouts(spark):

@@ -57,6 +57,21 @@ def test_implicit_centring(spark):
     assert np.allclose(linalg.pca(got, 3)[2]["variance"], linalg.pca(full, 3)[2]["variance"])
 
 
+@pytest.mark.parametrize("target", [0, 1, 50, 119, 120, 500])
+def test_a_whole_matrix_is_thinned_to_the_smallest_hashes(spark, target):
+    import hashlib
+
+    a = counts(6, 12, 5).astype(float)
+    a = a * (120 / a.sum()) // 1
+    a[0, 0] += 120 - a.sum()
+    got = dense(prep.downsample_counts(dataset(spark, a), total_counts=target, seed=5).X, a.shape)
+    slots = sorted((hashlib.md5(f"5-{i}-{j}-{k}".encode()).hexdigest(), i, j) for i in range(12) for j in range(5) for k in range(1, int(a[i, j]) + 1))
+    want = np.zeros_like(a)
+    for _, i, j in slots[:target]:
+        want[i, j] += 1
+    assert np.array_equal(got, a if target >= 120 else want)
+
+
 def test_numbers_of_rows(spark):
     ids = np.random.RandomState(1).permutation(5000)[:700]
     df = spark.createDataFrame([(int(i), str(i)) for i in ids], "cell_id long, name string").repartition(7)
