@@ -33,15 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forest, joined_by_class, runs, slices, small_batches, stored
+from .common import EDGES_AT_ONCE, components, dropped, forest, joined_by_class, runs, slices, small_batches, stored
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
 _ALL = (1 << 64) - 1
 #: Shingles that make a part of a set a signature by itself.
 STRONG = 2
-#: Postings that a task gathers before it sends them.
-FLUSH = 500_000
+#: Postings that a task gathers before it sends them, and bytes of postings that meet in a task at once.
+FLUSH, PART_BYTES = 500_000, 32 << 20
 #: A block of a family holds so many documents and so many shingles, or one document.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_500_000
 
@@ -183,15 +183,17 @@ def signatures(sets: list[np.ndarray], bands: Bands, strong: int) -> tuple[np.nd
 
 def postings(docs: np.ndarray, keys: np.ndarray, parts: int) -> Iterator[tuple[int, bytes, bytes]]:
     """(part, keys, documents) to send for signatures ``keys`` of ``docs``: documents that share one here become an edge
-    (a negative part: pairs of documents), and one of them stands for them elsewhere."""
+    (a negative part: pairs of documents), and the smallest of those so joined stands for them elsewhere."""
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
     new = np.concatenate(([True], keys[1:] != keys[:-1]))
     met = np.flatnonzero(~new)
     u, v = forest(docs[met], docs[met - 1])
+    keys, docs = keys[new], docs[new]
     if len(u):
         yield -1 - int(v[0]) % parts, u.tobytes(), v.tobytes()
-    keys, docs = keys[new], docs[new]
+        at = np.minimum(np.searchsorted(u, docs), len(u) - 1)
+        docs = np.where(u[at] == docs, v[at], docs)
     part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # grows with the key
     by_doc = np.lexsort((docs, part))
     keys, docs, part = keys[by_doc], docs[by_doc], part[by_doc]
@@ -246,21 +248,39 @@ class Poster:
 
 
 def family_edges(posted: DataFrame) -> DataFrame:
-    """``(a, b)``: edges that connect the documents of each family, from rows ``(part, keys, docs)`` of ``postings``."""
+    """``(a, b)``: edges that connect the documents of each family, from stored rows ``(part, keys, docs)`` of ``postings``.
+
+    Neighbouring parts are taken together up to ``PART_BYTES``, as documents that share many signatures meet in many parts.
+    """
+    size = posted.agg(F.sum(F.octet_length("keys") + F.octet_length("docs"))).first()[0] or 0
+    wide = min(_parts(posted), -(-size // PART_BYTES) or 1)
+    together = F.when(F.col("part") >= 0, F.floor(F.col("part") * wide / _parts(posted))).otherwise(-1 - F.floor((-1 - F.col("part")) * wide / _parts(posted)))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0  # documents that share many signatures meet in many parts: contract what a task has found
         for table in runs(batches, 1):
             part, keys, docs = (table.column(i).to_pylist() for i in range(3))
-            if part[0] < 0:
-                a, b = (np.frombuffer(b"".join(x), np.int64) for x in (keys, docs))
-            else:
-                a, b = met_in_part(keys, docs)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    dealt = posted.select("part", "keys", "docs").repartition("part").sortWithinPartitions("part")
+            held.append([np.frombuffer(b"".join(x), np.int64) for x in (keys, docs)] if part[0] < 0 else met_in_part(keys, docs))
+            n += len(held[-1][0])
+            if n >= EDGES_AT_ONCE:
+                yield told(held)
+                held, n = [], 0
+        if held:
+            yield told(held)
+
+    def told(held: list) -> pa.RecordBatch:
+        a, b = forest(*(np.concatenate([x[i] for x in held]) for i in (0, 1)))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    dealt = posted.select(together.cast("int").alias("part"), "keys", "docs").repartition(wide, "part").sortWithinPartitions("part")
     return dealt.mapInArrow(meet, "a long, b long")
 
 
+def _parts(df: DataFrame) -> int:
+    """Into how many parts tasks deal signatures."""
+    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 class _Index:
     """An inverted index over positions in the order they are added."""
 
@@ -375,7 +395,7 @@ def t_occurrence_links(ids: list[int], sets: list[np.ndarray], num: int, den: in
 def class_rows(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """``(id, n_shingles, hi, lo, posted)``: for every row the size and the 128-bit key of its shingle set; and the rows
     ``(part, keys, docs)`` of ``postings``. Of rows with equal sets a task posts one, marked ``posted``."""
-    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = _parts(docs)
     names = ["id", "n_shingles", "hi", "lo", "posted", "part", "keys", "docs"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary()]
 
@@ -507,7 +527,7 @@ def _large_families(small: DataFrame, large: DataFrame, num: int, den: int) -> t
     family of near copies becomes one component at little cost. Then each document outside its family's largest component
     meets all blocks of its family; those inside it are linked already and only meet the former.
     """
-    parts = 4 * int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = _parts(large)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         poster = Poster(parts, Bands(num, den), 2 * STRONG)
@@ -519,7 +539,9 @@ def _large_families(small: DataFrame, large: DataFrame, num: int, den: int) -> t
         if rows := list(poster.flush()):
             yield told(rows)
 
-    families = components(family_edges(large.mapInArrow(post, "part int, keys binary, docs binary")))
+    posted = stored(large.mapInArrow(post, "part int, keys binary, docs binary"), "postings")
+    families = components(family_edges(posted))
+    dropped(posted)
     sized = large.select("id", (F.octet_length("tokens") / 8).cast("long").alias("n")).groupBy("id").agg(F.max("n").alias("n"))
     split = _blocks(sized.join(families, "id").select(F.col("id").alias("name"), "n", F.col("component").alias("family")))
     again = stored(large.join(split.withColumnRenamed("name", "id"), "id").select("id", "tokens", "family", "blocks", "own"), "family-sets")
