@@ -95,7 +95,8 @@ def _level(rows: DataFrame, level: int, fanout: int, z: float) -> DataFrame:
     parents = nodes.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.count("*").alias("children"), F.count_if(F.col("n") == 1).alias("singles"))
     # variable segments: those of one path, and of many children those with less than an even share of so many
     variable = ((F.col("n") == 1) & (F.col("singles") > 1)) | ((F.col("children") > fanout) & (F.col("n") * fanout < F.col("all_n")))
-    named = nodes.join(parents, ["host", "template"]).withColumn("variable", variable)
+    # from a stored table, so that Spark may split the rows of a node with many children
+    named = nodes.join(stored(parents, "parents").hint("merge"), ["host", "template"]).withColumn("variable", variable)
     mostly = (2 * F.col("bad") > F.col("labelled")).alias("mostly")
     kin = ["host", "template", "shape", "mostly"]
     kept = named.where(~F.col("variable")).select("host", "template", "child", "shape", mostly, "bad", "labelled")
