@@ -42,6 +42,8 @@ _ALL = (1 << 64) - 1
 STRONG = 2
 #: Postings that a task gathers before it sends them, and bytes of postings that meet in a task at once.
 FLUSH, PART_BYTES = 500_000, 32 << 20
+#: Shingles that are signed at once.
+SIGNED_AT_ONCE = 100_000
 #: A block of a family holds so many documents and so many shingles, or one document.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_500_000
 
@@ -211,6 +213,7 @@ def met_in_part(keys: list[bytes], docs: list[bytes]) -> tuple[np.ndarray, np.nd
     sent = np.concatenate([np.frombuffer(k, np.uint8).reshape(-1, 6) for k in keys])
     key = np.zeros((len(sent), 8), np.uint8)
     key[:, :6] = sent
+    del sent
     key = key.view("<u8").ravel()
     doc = []
     for k, d in zip(keys, docs, strict=True):
@@ -219,9 +222,9 @@ def met_in_part(keys: list[bytes], docs: list[bytes]) -> tuple[np.ndarray, np.nd
         doc.append(np.cumsum(np.concatenate((np.frombuffer(d[:8], np.int64), np.frombuffer(d[8:], kind).astype(np.int64)))))
     doc = np.concatenate(doc)
     order = np.argsort(key, kind="stable")
-    key, doc = key[order], doc[order]
+    key = key[order]
     met = np.flatnonzero(key[1:] == key[:-1])
-    return forest(doc[met], doc[met + 1])
+    return forest(doc[order[met]], doc[order[met + 1]])
 
 
 class Poster:
@@ -234,12 +237,18 @@ class Poster:
         self.held = 0
 
     def add(self, docs: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, bytes, bytes]]:
-        which, keys = signatures(sets, self.bands, self.strong)
-        self.docs.append(np.array(docs, np.int64)[which])
-        self.keys.append(keys)
-        self.held += len(keys)
-        if self.held >= FLUSH:
-            yield from self.flush()
+        start = n = 0
+        for i, tokens in enumerate(sets):  # some at a time, for what signing them takes
+            n += len(tokens)
+            if n < SIGNED_AT_ONCE and i + 1 < len(sets):
+                continue
+            which, keys = signatures(sets[start : i + 1], self.bands, self.strong)
+            self.docs.append(np.array(docs[start : i + 1], np.int64)[which])
+            self.keys.append(keys)
+            self.held += len(keys)
+            start, n = i + 1, 0
+            if self.held >= FLUSH:
+                yield from self.flush()
 
     def flush(self) -> Iterator[tuple[int, bytes, bytes]]:
         if self.held:
