@@ -1,23 +1,27 @@
 """Licence scans: a trained paragraph classifier whose predictions are confirmed by the licences' texts.
 
-Features are the n-grams of one to three words that hold a cue (a stem such as ``licens`` or ``warrant``), each counted once in
-a paragraph, and whether it denies a licence. A multinomial logistic regression with an elastic net, trained here on the built-in examples, weighs them by
-licence family and for the class of paragraphs that name no licence. The examples are sentences of the licences' texts, their
-names and identifiers in common phrases, and, as paragraphs that name none, negated phrases and everyday sentences with cues. The
-threshold for ``unknown`` is calibrated on whole sentences and phrases that another fit has not seen; the weights are then fitted
-on all. A prediction counts when a template of its family (a sentence or a name) has enough of its words in the paragraph.
-
-All of it is DataFrame functions and the JVM's own learner; scoring is a projection without a shuffle. Texts without a cue have
-no feature in any paragraph, so they are not cut up. A paragraph is a line that holds a notice by itself, or lines of a wrapped
-text: each line with a cue is also read with the lines around it, as far as the next line that is blank (has no letter or digit)
-or holds a notice by itself, and at most ``AROUND`` words to each side. Null and empty texts have no licence; repeated rows and
-rows without an id are scanned like any other.
+Features are the n-grams of one to three words that hold a cue (a stem such as ``licens`` or ``warrant``) or another telling word
+of a template, each counted once in a paragraph, and whether it denies a licence. A multinomial logistic regression with an elastic
+net, trained here on the built-in examples, weighs them by licence family and for the class of paragraphs that name no licence.
+The examples are sentences of the licences' texts, their names and identifiers in common phrases, and, as paragraphs that name
+none, negated phrases and everyday sentences with cues. The threshold for ``unknown`` is calibrated on whole sentences and phrases
+that another fit has not seen; the weights are then fitted on all. A prediction counts when a template of its family (a sentence or
+a name) has enough of its words in the paragraph. Of each template so many words are telling that no paragraph with enough of it
+lacks them all (``_telling_words``).
+
+All of it is DataFrame functions and the JVM's own learner; scoring is a projection without a shuffle. Every line of every text is
+cut into words, and all that have a feature are scored. A paragraph is a line that holds a notice by itself, or lines of a wrapped
+text: each line with a feature is also read with the lines around it, as far as the next line that is blank (has no letter or
+digit) or holds a notice by itself, and at most ``AROUND`` words to each side. Null and empty texts have no licence; repeated rows
+and rows without an id are scanned like any other.
 """
 
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+import re
+from functools import lru_cache, reduce
+from operator import or_
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
@@ -25,10 +29,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
-#: Stems and words of which each feature holds one, as a pattern for one lower-case word.
+#: Stems and words by which n-grams are features, as a pattern for one lower-case word.
 CUE_WORD = "licen|warrant|copyright|permission|redistribut|^creative$|^commons$|^domain$|^cc$|^cc0$|^gnu$|^gpl|^lgpl|^agpl|^apache$|^mozilla$|^bsd$|^mit$|^spdx$"
-#: In a paragraph with a cue, the word that tells versions apart is one too.
-FEATURE_WORD = CUE_WORD + "|^version$"
+#: The least share of a template's distinct words that a paragraph has to have.
+CONFIRM = 0.75
 #: Names and identifiers of each family's licences.
 NAMES: dict[str, tuple[str, ...]] = {
     "agpl-3.0": ("GNU Affero General Public License, version 3", "AGPL-3.0", "AGPL-3.0-only", "AGPLv3"),
@@ -190,15 +194,42 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}.]+|\.+(?=\P{N}|$)"), "")
 
 
+@lru_cache
+def _template_words(text: str) -> frozenset[str]:
+    return frozenset(w for w in re.split(r"[^\w.]+|\.+(?=\D|$)", text.lower().replace("_", " ")) if w)
+
+
+def _telling_words() -> list[str]:
+    """Words without which no template is confirmed. A paragraph lacks fewer of a template's words than ``most``, so it has one of
+    any ``most`` of them: the cues, and where they are too few the longest words, first of those that no name or phrase has, as
+    both also stand where a licence is denied."""
+    told, sets = {"version"}, [_template_words(t) for texts in TEMPLATES.values() for t in texts]  # it tells versions apart
+    said = _template_words(" ".join((*FRAMES, *DENIALS, *(n for names in NAMES.values() for n in names))))
+    for words in sets:
+        most = len(words) - math.ceil(CONFIRM * len(words)) + 1
+        cues = sum(bool(re.search(CUE_WORD, w)) for w in words)
+        plain = sorted((w for w in words if not re.search(CUE_WORD, w)), key=lambda w: (w[0].isdigit(), w in said, -len(w), sum(w in s for s in sets), w))
+        told.update(plain[: max(0, most - cues)])
+    return sorted(told)
+
+
+#: Words that are features by themselves.
+WHOLE_WORDS = _telling_words()
+#: Of each feature, one word is like this.
+FEATURE_WORD = CUE_WORD + "".join(f"|^{re.escape(w)}$" for w in WHOLE_WORDS)
+
+
+def is_feature_word(w: Column) -> Column:
+    """Whether a lower-case word fits ``FEATURE_WORD``; a set of literals and plain searches are much cheaper than a pattern."""
+    cues = CUE_WORD.split("|")
+    stems = [c.lstrip("^") for c in cues if not c.endswith("$")]
+    whole = w.isin(*(c.strip("^$") for c in cues if c.endswith("$")), *WHOLE_WORDS)
+    return whole | (reduce(or_, (w.contains(s) for s in stems)) & w.rlike(FEATURE_WORD))
+
+
 def has_cue(low: Column) -> Column:
-    """Whether a lower-case text holds a cue. Dots end a word here, unlike in ``words_of``: that finds more, never less."""
-    found = F.lit(False)
-    for cue in CUE_WORD.split("|"):
-        w = cue.strip("^$")
-        # a plain search is much cheaper than a pattern, and most texts end there
-        edges = rf"(?<![\p{{L}}\p{{N}}]{w})" * cue.startswith("^") + r"(?![\p{L}\p{N}])" * cue.endswith("$")
-        found = found | (low.contains(w) & low.rlike(w + edges) if edges else low.contains(w))
-    return found
+    """Whether a lower-case text has a feature, but for denials."""
+    return F.exists(words_of(low), is_feature_word)
 
 
 #: Fixed value: how a paragraph denies a licence: a word of denial shortly before one of granting.
@@ -206,7 +237,7 @@ DENIED = r"(^| )(not|never|neither|nor|no longer)( [^ ]+){0,3} (licensed|release
 
 
 def ngrams_of(words: Column) -> Column:
-    """Distinct n-grams of one to three words that hold a cue word or ``version``, and ``!`` where a licence is denied."""
+    """Distinct n-grams of one to three words that hold a feature word, and ``!`` where a licence is denied."""
     return F.array_distinct(F.concat(_cue_ngrams(words), F.when(F.array_join(words, " ").rlike(DENIED), F.array(F.lit("!"))).otherwise(F.array().cast("array<string>"))))
 
 
@@ -216,7 +247,7 @@ def _cue_ngrams(words: Column) -> Column:
             F.transform(
                 words,
                 lambda w, i: F.when(
-                    w.rlike(FEATURE_WORD),
+                    is_feature_word(w),
                     F.flatten(
                         F.array(
                             F.array(w),
@@ -323,13 +354,6 @@ def containment(words: Column, family: Column) -> Column:
     return cases.otherwise(0.0)
 
 
-@lru_cache
-def _template_words(text: str) -> frozenset[str]:
-    import re
-
-    return frozenset(w for w in re.split(r"[^\w.]+|\.+(?=\D|$)", text.lower().replace("_", " ")) if w)
-
-
 #: How many words before and after a line are read with it: half as many again as the longest template has.
 AROUND = 3 * max(len(t.split()) for texts in TEMPLATES.values() for t in texts) // 2
 
@@ -357,7 +381,7 @@ def surroundings(lines: Column, i: Column) -> tuple[Column, Column, Column]:
     return F.slice(words, F.greatest(F.size(words) - AROUND, F.lit(0)) + 1, F.lit(AROUND)), F.slice(after, 1, AROUND), F.size(before)
 
 
-def scan(docs: DataFrame, model: Model | None = None, confirm: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, model: Model | None = None, confirm: float = CONFIRM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, license, licenses, n_paragraphs, confidence)`` for every row.
 
     ``license`` is the family of the surest confirmed paragraph, ``licenses`` all confirmed families in order, and
@@ -366,8 +390,11 @@ def scan(docs: DataFrame, model: Model | None = None, confirm: float = 0.75, id_
     model = model or train(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     low = F.lower(text)
-    held = F.transform(F.split(low, "\r\n?|\n"), lambda x: F.struct(words_of(x).alias("w"), has_cue(x).alias("cue")))
-    rows = docs.select(F.col(id_col), F.when(has_cue(low), held).alias("held"))
+    lines = F.transform(F.split(low, "\r\n?|\n"), words_of)
+    held = F.transform(lines, lambda w: F.struct(w.alias("w"), F.exists(w, is_feature_word).alias("cue")))
+    # in one expression, as the next step is given a copy of what this one returns: of a text without features that is nothing
+    some = F.transform(F.array(held), lambda h: F.when(F.exists(h, lambda x: x["cue"]), h))
+    rows = docs.select(F.col(id_col), F.get(some, F.lit(0)).alias("held"))
     # lines by themselves
     alone = F.transform("held", lambda x: F.struct(x["w"].alias("w"), x["cue"].alias("cue"), F.when(x["cue"], confirmed(model, x["w"], confirm)).alias("own")))
     rows = rows.select(id_col, alone.alias("held"))

@@ -486,3 +486,23 @@ def test_cues_in_any_spelling(spark, model):
     stems = [w.strip("^$") for w in licenses.CUE_WORD.split("|")]
     ends = spark.createDataFrame([(f"a{x}{w}{y}",) for w in stems for x in "-\t _\n/(" for y in ("", "-b", "\t", ".", "\n")], "t string")
     assert ends.where(~licenses.has_cue(F.col("t"))).count() == 0
+
+
+def test_names_and_parts_of_sentences_without_a_cue(spark, model):
+    """Every name is found in every phrase, also one of which no word is a cue, and so is what is left of a sentence without its cues."""
+    said = [(frame.format(n), f) for f, names in licenses.NAMES.items() for n in names if n in licenses.TEMPLATES[f] for frame in licenses.FRAMES]
+    said += [(frame.format(n), None) for n in ("EPL-2.0", "MPL-2.0") for frame in licenses.DENIALS]
+    said += [
+        ("License: ISC", "isc"),
+        ("He follows the EPL and sees 2.0 goals a match.", None),
+        ("is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.", "mit"),
+        ("and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met.", "bsd-3-clause"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(said)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.license for r in licenses.scan(df, model).collect()}
+    assert not [(t, f, got[i]) for i, (t, f) in enumerate(said) if got[i] != f]
+    # no paragraph that a template confirms is without a feature
+    for t in (t for texts in licenses.TEMPLATES.values() for t in texts):
+        words = licenses._template_words(t)
+        assert sum(not re.search(licenses.FEATURE_WORD, w) for w in words) < 0.75 * len(words)
+    assert np.argmax(model.intercepts) == model.families.index(licenses.UNKNOWN)
