@@ -41,7 +41,7 @@ _ALL = (1 << 64) - 1
 #: Shingles that make a part of a set a signature by itself.
 STRONG = 2
 #: Postings that a task gathers before it sends them, and bytes of postings that meet in a task at once.
-FLUSH, PART_BYTES = 500_000, 32 << 20
+FLUSH, PART_BYTES = 500_000, 8 << 20
 #: Shingles that are signed at once.
 SIGNED_AT_ONCE = 100_000
 #: A block of a family holds so many documents and so many shingles, or one document.

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -157,3 +158,19 @@ def test_components_of_long_chains(spark):
     chain = [(i, i + 1) for i in range(100, 140)] + [(7, 7), (None, 3), (5, 6)]
     got = {r.id: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(100, 141)}, 5: 5, 6: 5}
+
+
+def test_memory_of_a_part():
+    """Arrays for the postings that meet at once, which each of an executor's tasks holds."""
+    rng, keys, docs, sent = np.random.default_rng(0), [], [], 0
+    while sent < jaccard.PART_BYTES:
+        rows = jaccard.postings(np.sort(rng.integers(0, 1 << 40, 20_000)), rng.integers(0, 1 << 46, 20_000).astype(np.uint64) << np.uint64(16), 1)
+        for _, k, d in (r for r in rows if r[0] >= 0):
+            keys.append(k)
+            docs.append(d)
+            sent += len(k) + len(d)
+    tracemalloc.start()
+    jaccard.met_in_part(keys, docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20, peak
