@@ -5,7 +5,9 @@
 2. Families. A set is cut into parts by ranges of hashes, and linked sets agree on some part (``signatures``), so documents
    that share a signature meet in a family and no link leaves one. A signature takes several shingles at once, so a passage
    that many documents share brings few of them together. A task joins its own documents first and sends one posting for a
-   signature. Families too large for one block are dealt again by signatures of more shingles.
+   signature. The signatures that start at a set's first parts meet first, a bounded number for each set; the rest are then
+   posted for the families so found, as near copies share most signatures and would be joined anew in every task that some of
+   them meet in. Families too large for one block are dealt again by signatures of more shingles.
 3. Within a family, or a block of it where it is large, each document queries an inverted index of those before it:
    short lists are heap-merged, the L longest are probed by bisection (DivideSkip of Li, Lu and Lu 2008), and documents
    that reach the required overlap are linked. Documents already in the query's component need no search, and a component
@@ -42,6 +44,8 @@ _ALL = (1 << 64) - 1
 STRONG = 2
 #: Postings that a task gathers before it sends them, and bytes of postings that meet in a task at once.
 FLUSH, PART_BYTES = 500_000, 8 << 20
+#: The parts of a set that signatures start at which are posted first, and those of the rest.
+FIRST, REST = range(8), range(8, 1 << 40)
 #: Shingles that are signed at once.
 SIGNED_AT_ONCE = 100_000
 #: A block of a family holds so many documents and so many shingles, or one document.
@@ -112,8 +116,9 @@ class Bands:
         return self.told[b]
 
 
-def signatures(sets: list[np.ndarray], bands: Bands, strong: int) -> tuple[np.ndarray, np.ndarray]:
-    """(which set, key) of every signature of the sets; sets that link share one or are equal.
+def signatures(sets: list[np.ndarray], bands: Bands, strong: int, starts: range = range(1 << 40)) -> tuple[np.ndarray, np.ndarray]:
+    """(which set, key) of every signature of the sets that starts at a part in ``starts``; of all signatures, sets that link
+    share one or are equal.
 
     In a band where linked sets differ in H shingles at most, the range of hashes has H + 1 parts, dealt around a ring. Of the
     differences, fewer than l lie in the first l parts that follow some start, for every l (the pigeonring of Qin and Xiao
@@ -144,9 +149,10 @@ def signatures(sets: list[np.ndarray], bands: Bands, strong: int) -> tuple[np.nd
         of_part = np.repeat(np.arange(len(picked)), parts)
         ring = np.arange(len(count)) - base[of_part]
         name = mixed((ring.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + band[of_part])
-        big = np.flatnonzero(count >= strong)
+        asked = (ring >= starts.start) & (ring < starts.stop)
+        big = np.flatnonzero(asked & (count >= strong))
         found_at, found = [big], [mixed(sums[big] ^ name[big])]
-        weak = np.flatnonzero(count < strong)
+        weak = np.flatnonzero(asked & (count < strong))
         after = base[of_part[weak]] + (ring[weak] + 1) % parts[of_part[weak]]
         # the next part whole, or without one of its shingles
         choices = 1 + count[after]
@@ -230,8 +236,8 @@ def met_in_part(keys: list[bytes], docs: list[bytes]) -> tuple[np.ndarray, np.nd
 class Poster:
     """Gathers signatures of sets and gives them away as ``postings`` when there are many."""
 
-    def __init__(self, parts: int, bands: Bands, strong: int):
-        self.parts, self.bands, self.strong = parts, bands, strong
+    def __init__(self, parts: int, bands: Bands, strong: int, starts: range):
+        self.parts, self.bands, self.strong, self.starts = parts, bands, strong, starts
         self.docs: list[np.ndarray] = []
         self.keys: list[np.ndarray] = []
         self.held = 0
@@ -242,7 +248,7 @@ class Poster:
             n += len(tokens)
             if n < SIGNED_AT_ONCE and i + 1 < len(sets):
                 continue
-            which, keys = signatures(sets[start : i + 1], self.bands, self.strong)
+            which, keys = signatures(sets[start : i + 1], self.bands, self.strong, self.starts)
             self.docs.append(np.array(docs[start : i + 1], np.int64)[which])
             self.keys.append(keys)
             self.held += len(keys)
@@ -256,6 +262,31 @@ class Poster:
         self.docs, self.keys, self.held = [], [], 0
 
 
+def posted_sets(sets: DataFrame, read, num: int, den: int, strong: int, starts: range) -> DataFrame:
+    """A stored table of rows ``(part, keys, docs)`` of ``postings``, for the (documents, sets) that ``read`` makes of batches."""
+    parts = _parts(sets)
+
+    def told(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["part", "keys", "docs"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        poster = Poster(parts, Bands(num, den), strong, starts)
+        for docs, own in read(batches):
+            if rows := list(poster.add(docs, own)):
+                yield told(rows)
+        if rows := list(poster.flush()):
+            yield told(rows)
+
+    return stored(sets.mapInArrow(work, "part int, keys binary, docs binary"), "postings")
+
+
+def _both(first: DataFrame, posted: DataFrame) -> DataFrame:
+    """The components ``first`` joined by what the documents that stand for them share in ``posted``, which is deleted."""
+    out = components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(family_edges(posted)))
+    dropped(posted)
+    return out
+
+
 def family_edges(posted: DataFrame) -> DataFrame:
     """``(a, b)``: edges that connect the documents of each family, from stored rows ``(part, keys, docs)`` of ``postings``.
 
@@ -403,7 +434,7 @@ def t_occurrence_links(ids: list[int], sets: list[np.ndarray], num: int, den: in
 
 def class_rows(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """``(id, n_shingles, hi, lo, posted)``: for every row the size and the 128-bit key of its shingle set; and the rows
-    ``(part, keys, docs)`` of ``postings``. Of rows with equal sets a task posts one, marked ``posted``."""
+    ``(part, keys, docs)`` of ``postings`` of its first signatures. Of rows with equal sets a task posts one, marked ``posted``."""
     parts = _parts(docs)
     names = ["id", "n_shingles", "hi", "lo", "posted", "part", "keys", "docs"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary()]
@@ -413,7 +444,7 @@ def class_rows(docs: DataFrame, words: int, num: int, den: int, id_col: str, tex
         return pa.RecordBatch.from_arrays([*none, *(pa.array([r[i] for r in rows], kinds[5 + i]) for i in range(3))], names=names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, seen, poster = Shingler(words), set(), Poster(parts, Bands(num, den), STRONG)
+        shingle, seen, poster = Shingler(words), set(), Poster(parts, Bands(num, den), STRONG, FIRST)
         for batch in slices(batches, 1):
             ids, sets = batch.column(0).to_pylist(), [shingle(t) for t in batch.column(1).to_pylist()]
             keys = [set_key(x) for x in sets]
@@ -468,10 +499,23 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     with_set = rows.where("n_shingles > 0 and id is not null")
     named = [F.min("id").alias("name"), F.min(F.when(F.col("posted"), F.col("id"))).alias("rep"), F.max("n_shingles").alias("n"), F.count("*").alias("copies")]
     classes = stored(with_set.groupBy("hi", "lo").agg(*named), "classes")
-    families = components(family_edges(told.where("part is not null")))
-    members = classes.join(families.withColumnRenamed("id", "rep"), "rep").select("rep", "name", "hi", "lo", "n", F.col("component").alias("family"))
+    first = components(family_edges(told.where("part is not null")))
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+        shingle = Shingler(words)
+        for batch in slices(batches, 0):
+            sets = [shingle(t) for t in batch.column(0).to_pylist()]
+            keys = zip(*(batch.column(k).to_pylist() for k in (1, 2)), strict=True)
+            kept = [i for i, key in enumerate(keys) if set_key(sets[i]) == key]  # rows may share an id
+            yield batch.column(3).take(pa.array(kept, pa.int64())).to_pylist(), [sets[i] for i in kept]
+
+    # the merge hints keep one plan at every size
+    reps = classes.join(first.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select("rep", "hi", "lo", F.coalesce("component", "rep").alias("root"))
+    rest = texts.join(reps.hint("merge"), "rep").select("text", "hi", "lo", "root")
+    families = _both(first, posted_sets(rest, read, num, den, STRONG, REST))
+    members = classes.join(families.withColumnRenamed("id", "rep"), "rep").select("rep", "name", "hi", "lo", "n", F.col("component").alias("family"))
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, seen = Shingler(words), set()
         for batch in slices(batches, 0):
@@ -487,7 +531,6 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
             own = batch.select([1, 4, 5, 6]).take(pa.array(kept, pa.int64()))
             yield pa.RecordBatch.from_arrays([*own.columns, pa.array(sets, pa.binary())], names=["id", "family", "blocks", "own", "tokens"])
 
-    # the merge hint keeps one plan at every size
     met = texts.join(_blocks(members).hint("merge"), "rep").select("text", "name", "hi", "lo", "family", "blocks", "own")
     held = stored(met.mapInArrow(work, "id long, family long, blocks int, own int, tokens binary"), "family-sets")
     groups, found = _groups(held), []
@@ -536,21 +579,16 @@ def _large_families(small: DataFrame, large: DataFrame, num: int, den: int) -> t
     family of near copies becomes one component at little cost. Then each document outside its family's largest component
     meets all blocks of its family; those inside it are linked already and only meet the former.
     """
-    parts = _parts(large)
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        poster = Poster(parts, Bands(num, den), 2 * STRONG)
-        told = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["part", "keys", "docs"])
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
         for batch in slices(batches, 1):
-            sets = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
-            if rows := list(poster.add(batch.column(0).to_pylist(), sets)):
-                yield told(rows)
-        if rows := list(poster.flush()):
-            yield told(rows)
+            yield batch.column(0).to_pylist(), [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
 
-    posted = stored(large.mapInArrow(post, "part int, keys binary, docs binary"), "postings")
-    families = components(family_edges(posted))
+    posted = posted_sets(large, read, num, den, 2 * STRONG, FIRST)
+    first = components(family_edges(posted))
     dropped(posted)
+    rest = large.join(first.hint("merge"), "id", "left").select(F.coalesce("component", "id").alias("id"), "tokens")
+    families = _both(first, posted_sets(rest, read, num, den, 2 * STRONG, REST))
     sized = large.select("id", (F.octet_length("tokens") / 8).cast("long").alias("n")).groupBy("id").agg(F.max("n").alias("n"))
     split = _blocks(sized.join(families, "id").select(F.col("id").alias("name"), "n", F.col("component").alias("family")))
     again = stored(large.join(split.withColumnRenamed("name", "id"), "id").select("id", "tokens", "family", "blocks", "own"), "family-sets")

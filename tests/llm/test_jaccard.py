@@ -174,3 +174,27 @@ def test_memory_of_a_part():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 48 << 20, peak
+
+
+def test_copies_do_not_meet_anew_in_every_part(spark, monkeypatch):
+    """More documents have more parts, and near copies share signatures in most of them."""
+    rng, rows = random.Random(3), []
+    for i in range(40):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        for j in range(8):
+            text = list(base)
+            text[rng.randrange(300)] = text[rng.randrange(300)] = f"x{i}-{j}"
+            rows.append((8 * i + j, " ".join(text)))
+    made, edges = [], jaccard.family_edges
+
+    def counted(posted):
+        out = common.stored(edges(posted), "counted")
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "family_edges", counted)
+    monkeypatch.setattr(jaccard, "PART_BYTES", 24 << 10)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(df, 5, 80, 100).collect()}
+    assert got == {i: i - i % 8 for i, _ in rows}
+    assert 0 < sum(made) < 5 * len(rows), made
