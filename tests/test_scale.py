@@ -174,3 +174,36 @@ def test_logistic_regression_takes_cells_without_entries(spark):
     ds = dataset(spark, a, {"grp": ["x" if i % 2 else "y" for i in range(30)]})
     assert de.logreg(ds, "grp").count() == 10
     assert isinstance(ds, CellDataset)
+
+
+@pytest.mark.parametrize("target", [0, 7, 40, 70_000])
+def test_cells_are_thinned_to_the_smallest_hashes_without_a_row_for_a_slot(spark, target):
+    import hashlib
+
+    a = counts(8, 9, 6).astype(float)
+    a[4], a[5], a[6] = [0, 1, 3, 0, 0, 2], [150_000, 0, 1, 20, 0, 9], 0
+    ds = dataset(spark, a, stored_zeros={(4, 0)})
+    thinned = prep.downsample_counts(ds, counts_per_cell=target, seed=5).X
+    plan = thinned._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan
+    want = a.copy()
+    for i in np.flatnonzero(a.sum(1) > target):
+        slots = sorted((hashlib.md5(f"5-{i}-{j}-{k}".encode()).digest(), j) for j in range(6) for k in range(1, int(a[i, j]) + 1))
+        want[i] = np.bincount([j for _, j in slots[:target]], minlength=6)
+    assert np.array_equal(dense(thinned, a.shape), want) and thinned.where("value = 0").count() == 0
+
+
+def test_draws_with_replacement_join_nothing(spark):
+    import hashlib
+
+    a = counts(8, 9, 6).astype(float)
+    a[4], a[6] = [0, 1, 3, 0, 0, 2], 0
+    ds = dataset(spark, a, stored_zeros={(4, 0)})
+    thinned = prep.downsample_counts(ds, counts_per_cell=12, seed=5, replace=True).X
+    plan = thinned._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+    want = a.copy()
+    for i in np.flatnonzero(a.sum(1) > 12):
+        u = [int(hashlib.md5(f"5-{i}-{k}".encode()).hexdigest()[:12], 16) / 2**48 * a[i].sum() for k in range(1, 13)]
+        want[i] = np.bincount(np.searchsorted(np.cumsum(a[i]), u, side="right"), minlength=6)
+    assert np.array_equal(dense(thinned, a.shape), want) and thinned.where("value = 0").count() == 0
