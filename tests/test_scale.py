@@ -207,3 +207,19 @@ def test_draws_with_replacement_join_nothing(spark):
         u = [int(hashlib.md5(f"5-{i}-{k}".encode()).hexdigest()[:12], 16) / 2**48 * a[i].sum() for k in range(1, 13)]
         want[i] = np.bincount(np.searchsorted(np.cumsum(a[i]), u, side="right"), minlength=6)
     assert np.array_equal(dense(thinned, a.shape), want) and thinned.where("value = 0").count() == 0
+
+
+def test_branches_by_distances_that_are_worked_out():
+    rng = np.random.RandomState(3)
+    x = rng.normal(size=(300, 4)) * [5, 3, 1, 1]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for n in (0, 1, 3):
+        assert np.array_equal(kernels.branches(kernels._Distances(x), 7, n, 3), kernels.branches(d, 7, n, 3))
+
+
+def test_branches_of_more_cells_than_a_matrix_holds(spark):
+    n = 6000
+    t = np.linspace(0, 1, n)
+    rows = [(i, [1.0, float(t[i]), float(t[i] * (i % 3 == 0)), float(t[i] * (i % 3 == 1))], [1.0, 0.9, 0.8, 0.8]) for i in range(n)]
+    got = kernels.dpt_groups(spark.createDataFrame(rows, "cell_id long, vec array<double>, evals array<double>"), 0).orderBy("cell_id").collect()
+    assert len(got) == n and got[0].pseudotime == 0 and max(r.pseudotime for r in got) == 1 and len({r.segment for r in got}) >= 3
