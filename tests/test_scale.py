@@ -223,3 +223,30 @@ def test_branches_of_more_cells_than_a_matrix_holds(spark):
     rows = [(i, [1.0, float(t[i]), float(t[i] * (i % 3 == 0)), float(t[i] * (i % 3 == 1))], [1.0, 0.9, 0.8, 0.8]) for i in range(n)]
     got = kernels.dpt_groups(spark.createDataFrame(rows, "cell_id long, vec array<double>, evals array<double>"), 0).orderBy("cell_id").collect()
     assert len(got) == n and got[0].pseudotime == 0 and max(r.pseudotime for r in got) == 1 and len({r.segment for r in got}) >= 3
+
+
+def test_density_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "DENSE_BLOCK", 16)
+    a = np.random.RandomState(2).normal(size=(90, 2)) + 1e3
+    names = ["x"] * 50 + ["y"] * 30 + [None] * 10
+    got = {r.cell_id: r.density for r in graph.embedding_density(points(spark, a, g=names), "g").collect()}
+    for g in ("x", "y", None):
+        own = [i for i in range(90) if names[i] == g]
+        p = a[own]
+        inverse = np.linalg.inv(np.cov(p.T) * len(p) ** (-1 / 3))
+        gaps = p[:, None] - p[None]
+        k = np.exp(-0.5 * np.einsum("abi,ij,abj->ab", gaps, inverse, gaps)).sum(1)
+        assert np.allclose([got[i] for i in own], (k - k.min()) / (k.max() - k.min()), atol=1e-9)
+
+
+def test_neighbours_are_found_once(spark, tmp_path):
+    found = spark.sparkContext.accumulator(0)
+
+    def counted(t):
+        found.add(1)
+        return t
+
+    nearest = graph.knn(points(spark, np.random.RandomState(0).normal(size=(40, 3))), 6)
+    once = nearest.groupBy("src").applyInArrow(counted, nearest.schema)
+    graph.diffmap(graph.connectivities(once, 6), 4).collect()
+    assert found.value == 40
