@@ -250,3 +250,13 @@ def test_neighbours_are_found_once(spark, tmp_path):
     once = nearest.groupBy("src").applyInArrow(counted, nearest.schema)
     graph.diffmap(graph.connectivities(once, 6), 4).collect()
     assert found.value == 40
+
+
+def test_repulsion_meets_each_pair_once():
+    rng = np.random.RandomState(1)
+    y, mass = rng.normal(size=(70, 2)) * 50, rng.randint(1, 9, 70).astype(float)
+    y[3] = y[9]
+    gap = y[:, None] - y[None]
+    want = (gap * (mass[None, :] / np.maximum((gap**2).sum(2), 1e-12))[:, :, None]).sum(1)
+    for block in (16, 70, 100):
+        assert np.allclose(kernels._repulsion(y, mass, block), want, rtol=1e-12, atol=1e-12)
