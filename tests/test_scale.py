@@ -260,3 +260,20 @@ def test_repulsion_meets_each_pair_once():
     want = (gap * (mass[None, :] / np.maximum((gap**2).sum(2), 1e-12))[:, :, None]).sum(1)
     for block in (16, 70, 100):
         assert np.allclose(kernels._repulsion(y, mass, block), want, rtol=1e-12, atol=1e-12)
+
+
+def test_affinities_and_forces_by_blocks():
+    rng = np.random.RandomState(2)
+    x, y = rng.normal(size=(90, 5)), rng.normal(size=(90, 2))
+    blocks, p = kernels.affinities(x, 10.0, 32), kernels.joint_probabilities(x, 10.0)
+    for own, other, part in blocks:
+        assert np.allclose(part, p[own, other], rtol=1e-3, atol=1e-12)
+    whole = np.zeros((90, 90))
+    for own, other, part in blocks:
+        whole[own, other], whole[other, own] = part, part.T
+    gap = y[:, None] - y[None]
+    q = 1 / (1 + (gap**2).sum(2)) - np.eye(90)
+    attract, repel, total = kernels._pulls(y, blocks)
+    assert np.isclose(total, q.sum()) and np.allclose(attract, ((whole * q)[:, :, None] * gap).sum(1)) and np.allclose(repel, ((q * q)[:, :, None] * gap).sum(1))
+    off = ~np.eye(90, dtype=bool)
+    assert np.isclose(kernels._loss(y, blocks, total), (whole[off] * np.log(whole[off] / (q[off] / total))).sum())
